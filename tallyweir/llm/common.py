@@ -61,7 +61,7 @@ def free_name(taken: Iterable[str], wanted: str) -> str:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> DataFrame:
-    """At most ``rows`` labelled training rows as (doc_id, text, y), chosen by a hash of the id.
+    """At most ``rows`` labelled training rows as (doc_id, text, y, n_chars), chosen by a hash of the id.
 
     Only ids outside the held-out fold (crc32 mod 5 = 0) are eligible, and only
     texts of up to ``max_chars`` characters, so that what a fit holds is bounded.
@@ -76,6 +76,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
         .orderBy(F.xxhash64("id"), "id")
         .limit(rows)
     )
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), n_chars.alias("n_chars"))
     # the sample is bounded by ``rows``: 12 bytes a row to broadcast
-    return texts.filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("text", "y")).alias("r")).select(F.col("id").alias("doc_id"), "r.text", "r.y")
+    return texts.filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("text", "y", "n_chars")).alias("r")).select(F.col("id").alias("doc_id"), "r.text", "r.y", "r.n_chars")

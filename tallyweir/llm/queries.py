@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweir.llm import bpe
+from tallyweir.llm import bpe, quality, toxicity, url_rules
 from tallyweir.llm.common import table
 
 
@@ -16,6 +16,33 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the machine that the labels outside the held-out fold train."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judged(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the machine that the labels outside the held-out fold train."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+#: The host rules of the contract come first, then these patterns of our own.
+HOST_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+PATTERNS = ["^casino-", "^free-bets^", "^cheap-pills^", "^ads-track^", "^adult-", "^porn"]
+
+
+def url_rule_set() -> list[url_rules.Rule]:
+    return [url_rules.Rule("||" + name, verdict, name, 1) for name, verdict in HOST_RULES] + [url_rules.Rule(p, "block") for p in PATTERNS]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: the longest host rule that fits, else the patterns'."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, url_rule_set()).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ids and of decoded texts; see ``bpe`` for the defined cases."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -26,4 +53,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tallyweir.llm import oracles
+
+    return {name: sql for name, sql in vars(oracles).items() if name.startswith("op")}
