@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,11 @@ from pyspark.sql import types as T
 from tallyweir.llm.common import free_name
 
 END = "\n"  # stands for the end-of-word mark inside the automaton; no byte symbol is a line feed
-CACHE_ENTRIES = 200_000  # distinct runs that a worker remembers
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+CACHE_ENTRIES = 300_000  # distinct runs that a worker remembers
+_LETTERS = "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "N")
+#: The split pattern for texts of Latin characters only, whose classes are spelled out.
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 _BATCH_TOKENS = 4_000_000
 
 
@@ -91,19 +96,16 @@ class PrefixBpe:
             self._ids[k], self._len[k] = vocab[token], len(word)
             self._automaton.add_word(word, k)
         self._automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE leaves a border between neighbours a and b."""
-        if (known := self._fits.get((a, b))) is not None:
-            return known
         x, y, before = a, b, 1 << 60  # merges across the border count if older than the last one undone
-        answer = True
         while True:
             across = self._merge.get((x, y))
             if across is not None and across < before:
-                answer = False
-                break
+                return False
             # undo whichever side was made later; on the left side an equal age wins, as merges run left to right
             if x > y and x >= self._n_base:
                 before, x = x, self._right[x]
@@ -112,53 +114,70 @@ class PrefixBpe:
             elif x >= self._n_base:
                 before, x = x, self._right[x]
             else:
-                break
-        if len(self._fits) > 1_000_000:
-            self._fits.clear()
-        self._fits[a, b] = answer
-        return answer
+                return True
 
     def word(self, symbols: str) -> list[int]:
         """Ids of one pre-token given as byte symbols."""
         text = symbols + END if self.suffix else symbols
         n = len(text)
+        # the base symbol of the last byte carries the mark, so no token may end just before it
+        barred = n - 1 if self.suffix else -1
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        ends: list[list[int]] = [[] for _ in range(n + 1)]
+        fits, lengths = self._fits, self._len
         for at, k in self._automaton.iter(text):
-            ends[at + 1].append(k)
-        for i in range(1, n + 1):
-            for k in ends[i]:
-                j = i - self._len[k]
-                if j == 0 or last[j] >= 0 and self.compatible(last[j], k):
-                    if self.suffix and i == n - 1:
-                        # the base symbol of the last byte carries the mark, so no token may end just before it
-                        break
-                    last[i], back[i] = k, j
-                    break
+            i = at + 1
+            if last[i] >= 0 or i == barred:
+                continue
+            j = i - lengths[k]
+            if j:
+                before = last[j]
+                if before < 0:
+                    continue
+                pair = before << 20 | k
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = self.compatible(before, k)
+                    if len(fits) > 1_000_000:
+                        fits.clear()
+                    fits[pair] = fit
+                if not fit:
+                    continue
+            last[i], back[i] = k, j
         if last[n] < 0:
             raise ValueError(f"the vocabulary cannot spell {symbols!r}")
-        out = []
+        out, ids = [], self._ids
         while n:
-            out.append(self._ids[last[n]])
+            out.append(ids[last[n]])
             n = back[n]
-        return out[::-1]
+        out.reverse()
+        return out
 
-    def run(self, raw: bytes) -> list[int]:
-        """Ids of one run without ASCII white space."""
+    def piece(self, text: str) -> bytes:
+        """Ids of one pre-token as 32-bit integers, remembered."""
+        ids = self._pieces.get(text)
+        if ids is None:
+            if len(self._pieces) >= CACHE_ENTRIES:
+                self._pieces.clear()
+            symbols = text if text.isascii() else "".join(map(self._bytes.__getitem__, text.encode()))
+            ids = self._pieces[text] = array("i", self.word(symbols)).tobytes()
+        return ids
+
+    def run(self, raw: bytes) -> bytes:
+        """Ids of one run without ASCII white space, as 32-bit integers."""
         text = raw.decode("utf-8", "replace")
-        if text.isascii() and text.isprintable() and "<|" not in text:
-            return [i for piece in _PLAIN.findall(text.lower()) for i in self.word(piece)]
-        out: list[int] = []
+        if text.isprintable() and max(text) < "\u0250" and "<|" not in text and "\u0130" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return b"".join(map(self.piece, _LATIN.findall(text.lower())))
+        out = []
         for part in self._special.split(text) if self._special else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(array("i", [self.special[part]]).tobytes())
             elif part:
                 for piece, _ in self._pre.pre_tokenize_str(self._normalizer.normalize_str(part)):
-                    out += self.word(piece)
-        return out
+                    out.append(array("i", self.word(piece)).tobytes())
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return [i for raw in text.encode("utf-8", "replace").split() for i in self.run(raw)]
+        return array("i", b"".join(map(self.run, text.encode("utf-8", "replace").split()))).tolist()
 
     def decode(self, ids) -> str:
         """As the library decodes without a decoder: the tokens' strings, joined by spaces."""
@@ -201,7 +220,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
                         if ids is None:
                             if len(known) >= CACHE_ENTRIES:
                                 known.clear()
-                            ids = known[chunk] = np.array(bpe.run(chunk), np.int32).tobytes()
+                            ids = known[chunk] = bpe.run(chunk)
                         parts.append(ids)
                     blobs.append(b"".join(parts))
                     ends.append(ends[-1] + len(blobs[-1]) // 4)
