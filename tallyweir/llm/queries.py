@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweir.llm import bpe, quality, toxicity, url_rules
+from tallyweir.llm import bpe, decontamination, quality, quality_rules, sharding, toxicity, url_rules
 from tallyweir.llm.common import table
 
 
@@ -43,6 +44,23 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rule_set()).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains, item by item."""
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of near equal bytes."""
+    placed = sharding.sharded(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures, score and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.log_ratios(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ids and of decoded texts; see ``bpe`` for the defined cases."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
