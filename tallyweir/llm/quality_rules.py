@@ -5,8 +5,8 @@ all documents counts, bucket by bucket, the raw corpus and the trusted documents
 in it (labelled of good quality, at most ``trusted_rows`` of them); both become
 smoothed multinomials. A document's score is the mean over its n-grams of
 log(target / raw): its log-likelihood ratio, length-normalised. A second pass
-scores every whole text and keeps those at or above a fixed threshold, so equal
-texts get equal verdicts.
+scores every whole text and keeps those at or above a threshold that the trusted
+documents' own scores fix, so equal texts get equal verdicts.
 
 All of it is built-in functions: counts are combined before the shuffle, which
 carries at most a row for each bucket and task; the ratios are an array literal
@@ -51,15 +51,15 @@ def ngram_buckets(hashes: Column) -> Column:
     return F.concat(single, pairs)
 
 
+def trusted_ids(labels: DataFrame, trusted_rows: int) -> DataFrame:
+    """Ids of good quality outside the held-out fold, at most so many, chosen by a hash."""
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
+    return good.select(F.col("doc_id").alias("trusted_id")).distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted_rows)
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = 20_000, smoothing: float = 1.0) -> list[float]:
     """log(target / raw) of each bucket, from all documents."""
-    trusted = (
-        labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-        .select(F.col("doc_id").alias("trusted_id"))
-        .distinct()
-        .orderBy(F.xxhash64("trusted_id"), "trusted_id")
-        .limit(trusted_rows)
-    )
+    trusted = trusted_ids(labels, trusted_rows)
     # at most ``trusted_rows`` ids are broadcast
     counted = (
         docs.select("doc_id", word_hashes(words(F.col("text"))).alias("h"))
@@ -98,13 +98,25 @@ def with_repeats(df: DataFrame) -> DataFrame:
     return steps.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("windows", "ordered", "twice", "beside", "places")
 
 
-def judged(docs: DataFrame, ratios: list[float], threshold: float = -0.25, min_words: int = 50) -> DataFrame:
+def _score(buckets: str, tokens: str, ratios: list[float]) -> Column:
+    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal
+    total = F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
+    return F.when(F.size(tokens) > 0, total / (2 * F.size(tokens))).otherwise(0.0)
+
+
+def threshold(docs: DataFrame, labels: DataFrame, ratios: list[float], trusted_rows: int = 20_000, spread: float = 5.0, min_words: int = 50) -> float:
+    """The mean score of the trusted documents that are long enough, less ``spread`` standard deviations."""
+    found = docs.join(F.broadcast(trusted_ids(labels, trusted_rows)), F.col("doc_id") == F.col("trusted_id"))
+    read = found.select(words(F.col("text")).alias("w")).filter(F.size("w") >= min_words).withColumn("h", word_hashes(F.col("w"))).withColumn("buckets", ngram_buckets(F.col("h")))
+    r = read.select(_score("buckets", "w", ratios).alias("s")).agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
+    return -math.inf if r.m is None else r.m - spread * r.d
+
+
+def judged(docs: DataFrame, ratios: list[float], least: float, min_words: int = 50) -> DataFrame:
     """doc_id, the base figures, base_failed, kept and score of each row."""
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("w")).withColumn("h", word_hashes(F.col("w")))
     read = with_repeats(read).withColumn("buckets", ngram_buckets(F.col("h"))).withColumn("lines", F.when(F.contains("text", F.lit("\n")), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))))
-    total = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + F.get(table, b))
     figures = read.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
@@ -112,7 +124,7 @@ def judged(docs: DataFrame, ratios: list[float], threshold: float = -0.25, min_w
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.when(F.size("w") > 0, total / (2 * F.size("w"))).otherwise(0.0).alias("score"),
+        _score("buckets", "w", ratios).alias("score"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return figures.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return figures.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(least))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import bpe, decontamination, quality, quality_rules, sharding, toxicity, url_rules
+from tallyweir.llm import bpe, decontamination, near_dedup, pii, quality, quality_rules, sharding, toxicity, url_rules
 from tallyweir.llm.common import table
 
 
@@ -55,10 +55,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts and digest, and all spans."""
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents of three-word shingle sets with a similarity of 0.85 or more."""
+    return near_dedup.judged(table(spark, sf_dir, "documents"), threshold=0.85, n=3)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures, score and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
-    return quality_rules.judged(docs, quality_rules.log_ratios(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    ratios = quality_rules.log_ratios(docs, labels)
+    return quality_rules.judged(docs, ratios, quality_rules.threshold(docs, labels, ratios))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
