@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import bpe, decontamination, near_dedup, pii, quality, quality_rules, sharding, toxicity, url_rules
+from tallyweir.llm import bpe, decontamination, interpolation, near_dedup, pii, quality, quality_rules, sharding, toxicity, url_rules
 from tallyweir.llm.common import table
 
 
@@ -55,6 +55,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the interpolated model of the documents outside the held-out fold."""
+    return interpolation.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base counts and digest, and all spans."""
     return pii.digests(table(spark, sf_dir, "documents"))
