@@ -31,7 +31,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows that repeat an id are rare: only they are moved to keep one of each
     repeated = kept.filter("copies > 1 AND n > 0 AND kept_id IS NOT NULL").select("kept_id")
     if repeated.limit(1).count():
-        once = out.join(repeated, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+        once = out.join(repeated, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
         out = out.join(repeated, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_anti").unionByName(once)
     return out
 
