@@ -231,7 +231,7 @@ view("mv_join", ["orders", "customer"], ["CREATE MATERIALIZED VIEW v AS SELECT o
 view("mv_group", ["orders"], ["CREATE MATERIALIZED VIEW v AS SELECT customer, SUM(cents) AS total, COUNT(*) AS n FROM orders GROUP BY customer"], "SELECT customer, total, n FROM v WHERE n > 2", f"SELECT customer, CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM {_O} GROUP BY customer HAVING count(*) > 2")
 view("mv_anti", ["documents", "labels"], ["CREATE MATERIALIZED VIEW v AS SELECT d.id AS id FROM documents AS d WHERE NOT EXISTS (SELECT * FROM labels AS l WHERE l.id = d.id)"], "SELECT id FROM v", "SELECT id FROM documents_t d WHERE id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM labels_t l WHERE l.id = d.id)")
 view("mv_on_mv", ["orders"], ["CREATE MATERIALIZED VIEW big AS SELECT customer, cents FROM orders WHERE cents > 200000", "CREATE MATERIALIZED VIEW v AS SELECT customer, COUNT(*) AS n FROM big GROUP BY customer"], "SELECT customer, n FROM v", f"SELECT customer, count(*) AS n FROM {_O} WHERE cents > 200000 GROUP BY customer")
-view("mv_alter_recompute", ["orders"], ["CREATE MATERIALIZED VIEW big AS SELECT customer, cents FROM orders WHERE cents > 200000", "CREATE MATERIALIZED VIEW v AS SELECT customer, SUM(cents) AS total FROM big GROUP BY customer"], "SELECT customer, total FROM v", f"SELECT customer, CAST(sum(cents) AS BIGINT) AS total FROM {_O} WHERE cents <= 100000 GROUP BY customer", ["ALTER MATERIALIZED VIEW big AS SELECT customer, cents FROM orders WHERE cents <= 100000"])
+view("mv_alter_recompute", ["orders"], ["CREATE MATERIALIZED VIEW big AS SELECT customer, cents FROM orders WHERE cents > 200000", "CREATE MATERIALIZED VIEW v AS SELECT customer, SUM(cents) AS total FROM big GROUP BY customer"], "SELECT customer, total FROM v", f"SELECT customer, CAST(sum(cents) AS BIGINT) AS total FROM {_O} WHERE cents <= 9000000 GROUP BY customer", ["ALTER MATERIALIZED VIEW big AS SELECT customer, cents FROM orders WHERE cents <= 9000000"])
 view("agg_over_view", ["events"], ["CREATE MATERIALIZED VIEW v AS SELECT customer, cents FROM events WHERE cents < 8000"], "SELECT customer, COUNT(*) AS n, SUM(cents) AS total FROM v GROUP BY customer", f"SELECT customer, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM {_E} WHERE cents < 8000 GROUP BY customer")
 view("shared_views", ["events"], ["CREATE MATERIALIZED VIEW a AS SELECT customer, SUM(cents) AS x FROM events GROUP BY customer", "CREATE MATERIALIZED VIEW b AS SELECT customer, SUM(cents) AS y FROM events GROUP BY customer"], "SELECT a.customer AS customer, a.x AS x, b.y AS y FROM a JOIN b ON a.customer = b.customer", f"SELECT customer, CAST(sum(cents) AS BIGINT) AS x, CAST(sum(cents) AS BIGINT) AS y FROM {_E} GROUP BY customer")
 view("view_reuse", ["events"], ["CREATE MATERIALIZED VIEW v AS SELECT id, cents AS amount FROM events WHERE cents > 7000"], "SELECT id, cents FROM events WHERE cents > 7000", f"SELECT id, cents FROM {_E} WHERE cents > 7000")
