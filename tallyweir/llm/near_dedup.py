@@ -15,10 +15,11 @@ what can be reached over links.
 3. Candidate pairs are verified on the full shingle sets, which are taken from
    the texts again for the nodes in question alone. Verified pairs are links.
 4. Buckets whose nodes still lie in several components are then searched in full:
-   in blocks of at most ``BLOCK`` nodes, block against block, sketches of different
-   components are compared and only likely pairs leave the block, are verified
-   and become links. A large group of near copies is one component by then and
-   has nothing left to compare.
+   in blocks of bounded rows and bytes, block against block, likely pairs of
+   different components are verified on the spot, and a pair that joins two
+   components leaves as a link. Pairs that share an earlier band, or that a link
+   found before has put together, are skipped, so a block gives fewer links than
+   it has nodes however many pairs it holds.
 
 At the threshold a pair shares no band with a probability below 1e-6 (0.85^5 and
 24 bands) and fails the sketch test with one of the same order. Star centres that
@@ -38,15 +39,15 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.llm.common import dropped, stored
 from tallyweir.llm.shingles import WordHashes, mixed, shingle_set
 
-ROWS, BANDS, BITS, BLOCK, SALTS = 5, 24, 512, 1000, 64
+ROWS, BANDS, BITS, SALTS = 5, 24, 512, 64
+BLOCK_NODES, BLOCK_BYTES = 1000, 16 << 20
 SAMPLE = ROWS * BANDS
 _SEEDS = mixed(np.arange(1, SAMPLE + 1, dtype=np.uint64))
 _MULTIPLIERS = mixed(np.arange(1001, SAMPLE + 1001, dtype=np.uint64)) | np.uint64(1)
@@ -120,12 +121,11 @@ def described(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long, node binary, keys array<bigint>, sketch binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, n: int = 3) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough; ``nodes`` has node and doc_id of one document each."""
-    per_mille = round(threshold * 1000)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct().join(nodes, "node")
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """node and set (its shingle hashes as bytes) of the wanted nodes, from their texts alone."""
     # the documents of the nodes in question only; a null id joins as a value of its own
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    ids = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -134,7 +134,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
                 sets = [s for t in batch.column(0).slice(a, 500).cast(pa.large_binary()) if len(s := shingles(t.as_py(), n, known))]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    sets = stored(texts.select("text").mapInArrow(rows, "node binary, set binary").dropDuplicates(["node"]), "sets")
+    return stored(texts.select("text").mapInArrow(rows, "node binary, set binary").dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, n: int = 3) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough; ``nodes`` has node and doc_id of one document each."""
+    per_mille = round(threshold * 1000)
+    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct(), nodes, docs, n)
     # a centre of many pairs is dealt to SALTS tasks: its set is copied once a salt, never once a pair
     counts = pairs.groupBy("a").count().withColumn("salts", F.when(F.col("count") > 500, SALTS).otherwise(1)).drop("count")
     left = counts.join(sets, counts.a == sets.node).select("a", "salts", F.col("set").alias("set_a")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
@@ -178,7 +184,7 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def _different(a: F.Column, b: F.Column) -> F.Column:
+def _different(a: Column, b: Column) -> Column:
     """In how many bits two sketches differ."""
     word = lambda s, k: F.conv(F.hex(F.substring(s, 8 * k + 1, 8)), 16, -10).cast("long")
     return reduce(lambda x, y: x + y, (F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(BITS // 64)))
@@ -199,43 +205,59 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> Dat
         return pairs.join(b, "b").join(a, "a").filter(_different(F.col("sa"), F.col("sb")) <= most).select("a", "b")
 
     stars = buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    ids = nodes.select("node", "doc_id")
-    links = verified(stored(likely(stars), "stars"), ids, docs, threshold, n)
+    links = verified(stored(likely(stars), "stars"), nodes, docs, threshold, n)
     roots = components(links)
     placed = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1").select("key", "n")
-    rest = stored(placed.join(mixed_keys, "key").join(sketches, "node"), "mixed")
-    more = stored(_between(rest, most), "likely")
-    if more.limit(1).count():
-        links = links.unionByName(verified(more, ids, docs, threshold, n))
-        roots = components(links)
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    rest = stored(placed.join(open_keys, "key"), "open")
+    if rest.limit(1).count():
+        sets = sets_of(rest.select("node").distinct(), nodes, docs, n)
+        more = stored(_between(rest, nodes, sets, threshold, most), "more")
+        roots = components(links.unionByName(more))
     members = told.select("doc_id", "n_shingles", "node").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     smallest = nodes.select("node", "doc_id").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("least"))
     return members.join(smallest, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _between(rest: DataFrame, most: int) -> DataFrame:
-    """Likely pairs of nodes of different components within buckets, searched block against block."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # the row of block i goes to every pair (i, j), so a bucket of k blocks is searched in k (k + 1) / 2 tasks
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch")
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node")
-        bits = np.stack([np.frombuffer(s, np.uint64) for s in group["sketch"]])
-        root = pd.factorize(group["root"])[0]
-        node, own = group["node"].to_numpy(), group["own"].to_numpy()
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
-        for x in left:
-            others = right[(root[right] != root[x]) & ((right > x) if i == j else True)]
-            near = others[np.bitwise_count(bits[others] ^ bits[x]).sum(1) <= most]
-            found += [(min(node[x], node[y]), max(node[x], node[y])) for y in near]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(search, "a binary, b binary").distinct()
+def _between(rest: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Links between components within the open buckets (key, node, root), searched block against block."""
+    per_mille = round(threshold * 1000)
+    told = nodes.select("node", "keys", "sketch").join(sets, "node")
+    sizes = rest.join(told.select("node", F.octet_length("set").alias("bytes")), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(told, "node")
+    # a row of block i goes to every pair (i, j), so a bucket of k blocks is searched in k (k + 1) / 2 groups
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "keys", "sketch", "set")
+
+    def search(table: pa.Table) -> pa.Table:
+        node, own = table.column("node").to_pylist(), np.array(table.column("own"))
+        bits = np.stack([np.frombuffer(s, np.uint64) for s in table.column("sketch").to_pylist()])
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        full = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        size = np.array([len(s) for s in full])
+        places = {r: k for k, r in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
+        group = np.array([places[r] for r in table.column("root").to_pylist()])
+        band = int((keys[0] == table.column("key")[0].as_py()).argmax())
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        right, found = np.flatnonzero(own == j), []
+        for x in np.flatnonzero(own == i):
+            others = right[(group[right] != group[x]) & ((right > x) if i == j else True)]
+            others = others[~(keys[others, :band] == keys[x, :band]).any(1)]
+            apart = np.bitwise_count(bits[others] ^ bits[x]).sum(1)
+            # nearest first, as a link makes the rest of its component needless
+            waiting = others[np.argsort(apart, kind="stable")][: int((apart <= most).sum())]
+            while len(waiting):
+                now, waiting = waiting[:32], waiting[32:]
+                flat = np.concatenate([full[y] for y in now])
+                at = np.minimum(np.searchsorted(full[x], flat), size[x] - 1)
+                shared = np.add.reduceat((full[x][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[now])[:-1]]))
+                for y in now[1000 * shared >= per_mille * (size[now] + size[x] - shared)]:
+                    if group[y] != group[x]:
+                        found.append((node[x], node[y]))
+                        group[group == group[y]] = group[x]
+                waiting = waiting[group[waiting] != group[x]]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(search, "a binary, b binary")
 
 
 def judged(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
