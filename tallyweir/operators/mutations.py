@@ -25,7 +25,7 @@ def folded(base: DataFrame, operations: DataFrame) -> DataFrame:
     before = F.coalesce(F.lag("op").over(order), F.when(F.coalesce("there", F.lit(False)), F.lit("insert")).otherwise(F.lit("delete")))
     present = before != "delete"
     wrong = F.when((F.col("op") == "insert") & present, F.concat(F.lit("the key exists: "), F.col("c0").cast("string"))).when((F.col("op") != "insert") & ~present, F.concat(F.lit("the key is missing: "), F.col("c0").cast("string")))
-    checked = ranked.withColumn("wrong", wrong).withColumn("op", F.when(F.col("wrong").isNotNull(), F.raise_error("wrong").cast("string")).otherwise(F.col("op")))
+    checked = ranked.withColumn("wrong", wrong).withColumn("op", F.when(F.col("wrong").isNotNull(), F.raise_error(F.col("wrong")).cast("string")).otherwise(F.col("op")))
     last = checked.withColumn("rank", F.row_number().over(Window.partitionBy("c0").orderBy(F.col("at").desc())))
     one = F.lit(1).cast("long")
     come = last.filter("rank = 1 AND op <> 'delete'").select(*keys, one.alias(W))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallyweir.operators import delta, evaluate, zset
-from tallyweir.operators.zset import W
 from tallyweir.plans import ir
 from tallyweir.sources.store import Store
 
@@ -82,12 +81,11 @@ class Engine:
                 old, new = [self.bag(state, i) for i in node.inputs], [self.bag(after, i) for i in node.inputs]
                 change = delta.changed(node, old, new, given, self.bag(state, node))
                 self.propagations += 1
-            path = self.store.write(change)
+            path, rows = self.store.write_counted(change)
             held = state.bags[node]
-            kept = self.store.read((path,), held.schema)
-            if kept.limit(1).count() == 0:
+            if not rows:
                 continue  # what lies downstream sees no change
-            written[node] = kept
+            written[node] = self.store.read((path,), held.schema)
             merged = Bag((*held.fragments, path), held.schema, held.outside)
             if self.mode == "modular" or len(merged.fragments) > MOST_FRAGMENTS:
                 trial = State({node: merged})
@@ -106,7 +104,3 @@ class Engine:
 
 def _loose(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-
-
-Progress = Callable[[str], None]
-__all__ = ["W", "Bag", "Engine", "State", "key_of"]

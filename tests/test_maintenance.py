@@ -51,7 +51,7 @@ def recomputed(lhs, rhs):
 def test_seeded_batches(spark, mode):
     rng = random.Random(4)
     model, state = Model(spark, {"nodes": NODES}, mode), {"lhs": {}, "rhs": {}}
-    for step in range(3):
+    for step in range(2):
         operations = []
         for _ in range(12):
             table = rng.choice(("lhs", "rhs"))
