@@ -2,8 +2,8 @@
 
 The kernel of two words sums, over the subsequences of ``ORDER`` letters that
 they share, gaps included, ``DECAY`` to the power of the stretches they span; it
-is scaled to 1 for equal strings. So ``mxoron`` and ``mor-on`` stay near
-``moron``. A sentence has, against each landmark, the
+is scaled to 1 for equal strings and raised to ``POWER`` (a product of kernels is
+a kernel). So ``mxoron`` and ``mor-on`` stay near ``moron``. A sentence has, against each landmark, the
 kernel of its nearest word, so long sentences don't add up chance likeness. Nystroem features are
 the kernels against landmark words times the inverse root of the landmarks' own
 kernel matrix; the landmarks are the words and beginnings of words that tell the
@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from tallyweir.llm.common import fold, labelled_sample
 
-ORDER, DECAY, SPAN, LEAST_SHARED, SLACK = 4, 0.8, 24, 0.7, 2
+ORDER, DECAY, POWER, SPAN, LEAST_SHARED, SLACK = 4, 0.8, 2, 24, 0.7, 2
 _STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]? ){3,}\w[^\w\s]?(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -161,7 +161,7 @@ def kernels(words: Sequence[str], landmarks: Sequence[str], scale: np.ndarray) -
         near = [words[i] if landmarks[k].endswith("$") else words[i][: len(landmarks[k]) + SLACK] for i, k in zip(r, m, strict=True)]
         raw = _paired(_codes(near, -1), _codes([landmarks[k] for k in m], -2))
         out[r, m] = raw / np.sqrt(np.maximum(own(near), 1e-300) * scale[m])
-    return out
+    return out**POWER
 
 
 @dataclass
@@ -259,11 +259,11 @@ def _landmarks(texts: list[list[list[str]]], y: np.ndarray, most: int, frequent:
         c, d = toxic - a, n0 - b
         return (a * d - b * c) ** 2 * (toxic + n0) / max((a + b) * (c + d) * toxic * n0, 1)
 
-    open_forms = {f: at for f, at in toxic_in.items() if len(at) >= 3 and strength(len(at), f, n1) > 30}
+    open_forms = {f: at for f, at in toxic_in.items() if len(at) >= 3 and strength(len(at), f, n1) > 35}
     left, chosen = {i for i, v in enumerate(y) if v > 0}, []
     while open_forms and len(chosen) < most:
         best = max(open_forms, key=lambda f: (strength(len(open_forms[f] & left), f, len(left)), f.endswith("$"), len(f), f))
-        if strength(len(open_forms[best] & left), best, len(left)) <= 20:
+        if strength(len(open_forms[best] & left), best, len(left)) <= 28:
             break
         chosen.append(best)
         covered = open_forms.pop(best)
