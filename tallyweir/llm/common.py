@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +45,19 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors once a context, so that they need no path of the driver's."""
+    context = spark.sparkContext
+    if not getattr(context, "_tallyweir_shipped", False):
+        package = Path(__file__).resolve().parent.parent
+        if package.is_dir():
+            folder = tempfile.mkdtemp(prefix="tallyweir-code-")
+            context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        context._tallyweir_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
