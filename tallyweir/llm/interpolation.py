@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tallyweir.llm.common import dropped, fold, stored
 from tallyweir.llm.shingles import WordHashes, mixed
 
-BLOCK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
 END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
 LEVELS = 48  # buckets of context frequency: powers of two
 
@@ -75,7 +75,12 @@ def blocks(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             tokens = np.concatenate(parts)
-            vocabulary, seq = np.unique(tokens, return_inverse=True)
+            vocabulary, seq, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+            # frequent words get small numbers, which compress better
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            vocabulary, seq = vocabulary[order], place[seq]
             training = int(sum(n for n, h in zip(lengths, held, strict=True) if not h))
             values = [uuid.uuid4().hex, pa.concat_arrays(ids), held, lengths, vocabulary.tobytes(), _pack(seq.astype(np.int32)), training]
             kinds = [pa.string(), None, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
