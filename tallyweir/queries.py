@@ -73,6 +73,8 @@ sql("filter_col_col", "SELECT order_id, supplier, part FROM lineitem WHERE suppl
 sql("pk_lookup", "SELECT * FROM orders WHERE id = 77", "SELECT id, customer, cents FROM orders_t WHERE id = 77", "orders")
 sql("join_inner", "SELECT o.id AS order_id, c.nation AS nation, o.cents AS cents FROM orders AS o JOIN customer AS c ON o.customer = c.id", "SELECT o.id AS order_id, c.nation, o.cents FROM orders_t o JOIN customer_t c ON o.customer = c.id", "orders", "customer")
 sql("join_self", "SELECT a.id AS a, b.id AS b FROM customer AS a INNER JOIN customer AS b ON a.nation = b.nation WHERE a.id < 40 AND b.id < 40", "SELECT a.id AS a, b.id AS b FROM customer_t a JOIN customer_t b ON a.nation = b.nation WHERE a.id < 40 AND b.id < 40", "customer")
+# join_self keeps the id range of its SQL; this one joins whole tables, on a key of some ten orders each
+sql("join_self_whole", "SELECT a.id AS a, b.id AS b FROM orders AS a INNER JOIN orders AS b ON a.customer = b.customer", "SELECT a.id AS a, b.id AS b FROM orders_t a JOIN orders_t b ON a.customer = b.customer", "orders")
 sql("anti_join", "SELECT o.id, o.cents FROM orders AS o WHERE NOT EXISTS (SELECT 1 FROM lineitem AS l WHERE l.order_id = o.id)", "SELECT id, cents FROM orders_t o WHERE NOT EXISTS (SELECT 1 FROM lineitem_t l WHERE l.order_id = o.id)", "orders", "lineitem")
 sql("agg_count_global", "SELECT COUNT(*) AS n FROM lineitem WHERE quantity > 10", "SELECT count(*) AS n FROM lineitem_t WHERE quantity > 10", "lineitem")
 sql("agg_sum_global", "SELECT SUM(cents) AS total FROM orders", "SELECT CAST(sum(cents) AS BIGINT) AS total FROM orders_t", "orders")
@@ -132,6 +134,7 @@ ivm("ivm_filter", ["events"], [{"op": "filter", "name": "out", "input": "events"
 ivm("ivm_union", ["events"], [{"op": "filter", "name": "low", "input": "events", "column": 2, "cmp": "lt", "value": 4000}, {"op": "filter", "name": "some", "input": "events", "column": 1, "cmp": "lt", "value": 500}, {"op": "union", "name": "out", "left": "low", "right": "some"}], ["id", "customer", "cents"], f"SELECT id, customer, cents FROM {_E} WHERE cents < 4000 UNION ALL SELECT id, customer, cents FROM {_E} WHERE customer < 500")
 ivm("ivm_join_delta", ["orders", "customer"], [{"op": "join", "name": "both", "left": "orders", "right": "customer", "left_key": 1, "right_key": 0}, {"op": "map", "name": "out", "input": "both", "exprs": [["c0"], ["c4"], ["c2"]]}], ["id", "nation", "cents"], f"SELECT o.id, c.nation, o.cents FROM {_O} o JOIN {_C} c ON o.customer = c.id")
 ivm("ivm_self_join_delta", ["customer"], [{"op": "filter", "name": "some", "input": "customer", "column": 0, "cmp": "lt", "value": 120}, {"op": "join", "name": "both", "left": "some", "right": "some", "left_key": 1, "right_key": 1}, {"op": "map", "name": "out", "input": "both", "exprs": [["c0"], ["c3"]]}], ["a", "b"], f"SELECT a.id AS a, b.id AS b FROM {_C} a JOIN {_C} b ON a.nation = b.nation WHERE a.id < 120 AND b.id < 120")
+ivm("ivm_self_join_whole", ["orders"], [{"op": "join", "name": "both", "left": "orders", "right": "orders", "left_key": 1, "right_key": 1}, {"op": "map", "name": "out", "input": "both", "exprs": [["c0"], ["c3"]]}], ["a", "b"], f"SELECT a.id AS a, b.id AS b FROM {_O} a JOIN {_O} b ON a.customer = b.customer")
 ivm("ivm_anti_delta", ["documents", "labels"], [{"op": "anti", "name": "out", "left": "documents", "right": "labels", "left_key": 0, "right_key": 0}], ["id", "size"], "SELECT id, size FROM documents_t d WHERE id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM labels_t l WHERE l.id = d.id AND l.id % 10 <> 0)")
 ivm("ivm_group_delta", ["events"], [{"op": "group", "name": "out", "input": "events", "key": 1, "value": 2}], ["customer", "total", "n"], f"SELECT customer, CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM {_E} GROUP BY customer")
 ivm("ivm_two_statement_tx", ["orders"], [{"op": "group", "name": "sums", "input": "orders", "key": 1, "value": 2}, {"op": "filter", "name": "out", "input": "sums", "column": 2, "cmp": "gt", "value": 5}], ["customer", "total", "n"], f"SELECT customer, CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM {_O} GROUP BY customer HAVING count(*) > 5", statements=2)

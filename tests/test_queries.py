@@ -40,3 +40,16 @@ def test_the_rest_stands_without_the_training_data_operators():
     code = "import sys; sys.modules['tallyweir.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'pk_lookup' in e.queries() and not any(n.startswith('op') for n in e.queries()) and e.oracle_sql()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["join_self_whole", "ivm_self_join_whole"])
+def test_self_joins_of_whole_tables(spark, duck, name):
+    """Every order meets every order of its customer, whatever its id."""
+    kept = "true" if name == "join_self_whole" else "o_orderkey % 10 <> 0"
+    of = {}
+    for order, customer in duck.execute(f"SELECT o_orderkey, o_custkey FROM orders WHERE {kept}").fetchall():
+        of.setdefault(customer, []).append(order)
+    expected = sorted((a, b) for group in of.values() for a in group for b in group)
+    assert sorted(map(tuple, queries.queries()[name](spark, SF).select("a", "b").collect())) == expected
+    assert sorted(duck.execute(queries.oracle_sql()[name]).fetchall()) == expected
