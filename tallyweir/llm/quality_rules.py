@@ -1,16 +1,18 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Words and pairs of neighbouring words are hashed into ``BUCKETS``. One pass over
-all documents counts, bucket by bucket, the raw corpus and the trusted documents
-in it (labelled of good quality, at most ``trusted_rows`` of them); both become
-smoothed multinomials. A document's score is the mean over its n-grams of
+all documents counts the raw corpus bucket by bucket, one over all trusted
+documents in it (labelled of good quality) counts those; both become smoothed
+multinomials. A document's score is the mean over its n-grams of
 log(target / raw): its log-likelihood ratio, length-normalised. A second pass
 scores every whole text and keeps those at or above a threshold that the trusted
 documents' own scores fix, so equal texts get equal verdicts.
 
 All of it is built-in functions: counts are combined before the shuffle, which
-carries at most a row for each bucket and task; the ratios are an array literal
-of fixed size; scoring shuffles nothing.
+carries at most a row for each bucket and task; texts meet the trusted ids by a
+shuffle, less most of those that a bitmap of fixed size rules out, and the
+buckets of the trusted ones are written once; the ratios are an array literal of
+fixed size; scoring shuffles nothing.
 
 Base figures of a text, with words as runs of other than ASCII white space:
 n_words; word_chars, code points in words; n_symbols; n_dup_lines, lines with a
@@ -30,9 +32,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import fold
+from tallyweir.llm.common import fold, stored
 
 BUCKETS = 1 << 14
+WORDS = 1 << 18
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,29 +54,40 @@ def ngram_buckets(hashes: Column) -> Column:
     return F.concat(single, pairs)
 
 
-def trusted_ids(labels: DataFrame, trusted_rows: int) -> DataFrame:
-    """Ids of good quality outside the held-out fold, at most so many, chosen by a hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids of good quality outside the held-out fold."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-    return good.select(F.col("doc_id").alias("trusted_id")).distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted_rows)
-
-
-def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = 20_000, smoothing: float = 1.0) -> list[float]:
-    """log(target / raw) of each bucket, from all documents."""
-    trusted = trusted_ids(labels, trusted_rows)
-    # at most ``trusted_rows`` ids are broadcast
-    counted = (
-        docs.select("doc_id", word_hashes(words(F.col("text"))).alias("h"))
-        .join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
-        .select(F.col("trusted_id").isNotNull().cast("int").alias("t"), F.explode_outer(ngram_buckets(F.col("h"))).alias("bucket"))  # of the inner form Spark would infer a filter that hashes anew for every word
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-        .collect()  # BUCKETS rows at most, and one for texts without words
-    )
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for r in (r for r in counted if r.bucket is not None):
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    return good.select(F.col("doc_id").alias("trusted_id")).distinct()
+
+
+def trusted_buckets(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The n-gram buckets of each row of ``docs`` whose id is trusted, written once."""
+    kind = docs.schema["doc_id"].dataType
+    ids = trusted_ids(labels).select(F.col("trusted_id").try_cast(kind).alias("trusted_id"))
+    # WORDS longs at most, however many ids: it only spares texts the shuffle, the join decides
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * WORDS))
+    bits = ids.select(place("trusted_id").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits"))
+    near = docs.select("doc_id", "text", place("doc_id").alias("p")).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(bits), "word").filter(F.expr("shiftrightunsigned(bits, int(p & 63)) & 1 = 1"))
+    met = near.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    return stored(met.select(ngram_buckets(word_hashes(words(F.col("text")))).alias("buckets")), "trusted")
+
+
+def _counted(buckets: DataFrame) -> list[int]:
+    """How often each bucket stands in the rows."""
+    out = [0] * BUCKETS
+    # of the inner form Spark would infer a filter that hashes anew for every word
+    for r in buckets.select(F.explode_outer("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect():  # BUCKETS rows at most, and one for texts without words
+        if r.bucket is not None:
+            out[r.bucket] = r.n
+    return out
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, smoothing: float = 1.0, trusted: DataFrame | None = None) -> list[float]:
+    """log(target / raw) of each bucket, from all documents; ``trusted`` are the trusted_buckets, if at hand."""
+    target = _counted(trusted_buckets(docs, labels) if trusted is None else trusted)
     if not sum(target):
         return [0.0] * BUCKETS
+    raw = _counted(docs.select(word_hashes(words(F.col("text"))).alias("h")).select(ngram_buckets(F.col("h")).alias("buckets")))
     of_raw, of_target = sum(raw) + smoothing * BUCKETS, sum(target) + smoothing * BUCKETS
     return [math.log((t + smoothing) / of_target) - math.log((r + smoothing) / of_raw) for t, r in zip(target, raw, strict=True)]
 
@@ -98,17 +112,17 @@ def with_repeats(df: DataFrame) -> DataFrame:
     return steps.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("windows", "ordered", "twice", "beside", "places")
 
 
-def _score(buckets: str, tokens: str, ratios: list[float]) -> Column:
+def _score(buckets: str, n_words: Column, ratios: list[float]) -> Column:
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal
     total = F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
-    return F.when(F.size(tokens) > 0, total / (2 * F.size(tokens))).otherwise(0.0)
+    return F.when(n_words > 0, total / (2 * n_words)).otherwise(0.0)
 
 
-def threshold(docs: DataFrame, labels: DataFrame, ratios: list[float], trusted_rows: int = 20_000, spread: float = 5.0, min_words: int = 50) -> float:
+def threshold(docs: DataFrame, labels: DataFrame, ratios: list[float], spread: float = 5.0, min_words: int = 50, trusted: DataFrame | None = None) -> float:
     """The mean score of the trusted documents that are long enough, less ``spread`` standard deviations."""
-    found = docs.join(F.broadcast(trusted_ids(labels, trusted_rows)), F.col("doc_id") == F.col("trusted_id"))
-    read = found.select(words(F.col("text")).alias("w")).filter(F.size("w") >= min_words).withColumn("h", word_hashes(F.col("w"))).withColumn("buckets", ngram_buckets(F.col("h")))
-    r = read.select(_score("buckets", "w", ratios).alias("s")).agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
+    read = trusted_buckets(docs, labels) if trusted is None else trusted
+    n_words = (F.size("buckets") / 2).cast("int")  # a bucket for each word, and one for its pair
+    r = read.filter(n_words >= min_words).select(_score("buckets", n_words, ratios).alias("s")).agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
     return -math.inf if r.m is None else r.m - spread * r.d
 
 
@@ -124,7 +138,7 @@ def judged(docs: DataFrame, ratios: list[float], least: float, min_words: int =
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        _score("buckets", "w", ratios).alias("score"),
+        _score("buckets", F.size("w"), ratios).alias("score"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return figures.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(least))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

@@ -74,8 +74,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures, score and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    ratios = quality_rules.log_ratios(docs, labels)
-    return quality_rules.judged(docs, ratios, quality_rules.threshold(docs, labels, ratios))
+    trusted = quality_rules.trusted_buckets(docs, labels)
+    ratios = quality_rules.log_ratios(docs, labels, trusted=trusted)
+    return quality_rules.judged(docs, ratios, quality_rules.threshold(docs, labels, ratios, trusted=trusted))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

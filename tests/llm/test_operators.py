@@ -253,6 +253,23 @@ def test_quality_rules(spark, docs, none, texts):
     assert set(quality_rules.log_ratios(docs, labels.limit(0))) == {0.0}
 
 
+def test_quality_rules_take_every_trusted_document(spark):
+    import inspect
+
+    n = 20_600
+    frame = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN concat('w', id, ' w', id) END AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").union(spark.createDataFrame([(3, 0, 0), (None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int"))
+    good = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    frame = frame.union(frame.selectExpr(f"doc_id + {n} AS doc_id", "text")).union(frame.filter("doc_id = 2"))
+    labels = labels.union(spark.range(n, 2 * n).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "0 AS toxic"))
+    good += [i for i in range(n, 2 * n) if i % 2 and zlib.crc32(str(i).encode()) % 5]
+    assert len(good) > 20_000
+    found = quality_rules.trusted_buckets(frame, labels)
+    assert found.count() == len(good) + 1  # id 2 stands twice
+    assert found.filter("size(buckets) = 4").count() == sum(i < n and i % 2 == 0 for i in good) + 1
+    assert "trusted_rows" not in inspect.signature(quality_rules.log_ratios).parameters
+
+
 def labelled(rng, n):
     """Documents where insults make label 1, and junk makes quality 0."""
     insults, out = ("grobbly", "snarkfool", "dunderhat"), []
