@@ -5,7 +5,7 @@ have a Jaccard similarity of at least ``threshold``; a document's component is
 what can be reached over links.
 
 1. One pass over the texts gives each document the digest of its whole set, the
-   keys of ``BANDS`` bands of ``ROWS`` MinHash values each, and an odd sketch:
+   keys of ``bands(threshold)`` bands of ``ROWS`` MinHash values each, and an odd sketch:
    every (place, value) of the MinHash sample flips one bit of a parity bitmap.
    Equal sets, whatever the number of copies, become one node at once.
 2. Nodes that share a band key are candidates. In every bucket each node is held
@@ -21,8 +21,8 @@ what can be reached over links.
    found before has put together, are skipped, so a block gives fewer links than
    it has nodes however many pairs it holds.
 
-At the threshold a pair shares no band with a probability below 1e-6 (0.85^5 and
-24 bands) and fails the sketch test with one of the same order. Star centres that
+At the threshold a pair shares no band with a probability below 1e-6 (24 bands for
+0.85, 35 for 0.8) and fails the sketch test with one of the same order. Star centres that
 many pairs share are salted before verification. Every table between steps is
 written to the shared folder; components are found by joins, never on the driver.
 
@@ -35,6 +35,7 @@ null ids only has a null component_id; repeated rows are equal sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,11 +47,13 @@ from pyspark.sql import functions as F
 from tallyweir.llm.common import dropped, stored
 from tallyweir.llm.shingles import WordHashes, mixed, shingle_set
 
-ROWS, BANDS, BITS, SALTS = 5, 24, 512, 64
+ROWS, BITS, SALTS = 5, 512, 64
 BLOCK_NODES, BLOCK_BYTES = 1000, 16 << 20
-SAMPLE = ROWS * BANDS
-_SEEDS = mixed(np.arange(1, SAMPLE + 1, dtype=np.uint64))
-_MULTIPLIERS = mixed(np.arange(1001, SAMPLE + 1001, dtype=np.uint64)) | np.uint64(1)
+
+
+def bands(threshold: float) -> int:
+    """So many that a pair at the threshold shares none with a probability below one in a million."""
+    return math.ceil(math.log(1e-6) / math.log1p(-min(threshold**ROWS, 1 - 1e-12)))
 
 
 def shingles(text: bytes | None, n: int, known: WordHashes) -> np.ndarray:
@@ -58,15 +61,18 @@ def shingles(text: bytes | None, n: int, known: WordHashes) -> np.ndarray:
     return shingle_set(known.of((text or b"").lower().split()), n)
 
 
-def sampled(sets: list[np.ndarray]) -> np.ndarray:
+def sampled(sets: list[np.ndarray], threshold: float = 0.85) -> np.ndarray:
     """MinHash values, sets by sample places; sets must not be empty."""
+    size = ROWS * bands(threshold)
+    seeds = mixed(np.arange(1, size + 1, dtype=np.uint64))
+    multipliers = mixed(np.arange(1001, size + 1001, dtype=np.uint64)) | np.uint64(1)
     whole = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     # 32-bit values halve the work; they only nominate candidates
     low = (whole >> np.uint64(32)).astype(np.uint32) ^ whole.astype(np.uint32)
-    out = np.empty((len(sets), SAMPLE), np.uint32)
-    for k in range(SAMPLE):
-        h = (low ^ np.uint32(_SEEDS[k] & np.uint64(0xFFFFFFFF))) * np.uint32(_MULTIPLIERS[k] & np.uint64(0xFFFFFFFF))
+    out = np.empty((len(sets), size), np.uint32)
+    for k in range(size):
+        h = (low ^ np.uint32(seeds[k] & np.uint64(0xFFFFFFFF))) * np.uint32(multipliers[k] & np.uint64(0xFFFFFFFF))
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
@@ -75,29 +81,30 @@ def sampled(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
-    keys = np.zeros((len(sample), BANDS), np.uint64)
+    keys = np.zeros((len(sample), sample.shape[1] // ROWS), np.uint64)
     for r in range(ROWS):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sample[:, r::ROWS].astype(np.uint64) + np.uint64(1))
-    return mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return mixed(keys + np.arange(keys.shape[1], dtype=np.uint64)).view(np.int64)
 
 
 def odd_sketches(sample: np.ndarray) -> np.ndarray:
     """Parity bitmaps as bytes, sets by BITS / 8."""
-    bit = (mixed(sample.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, SAMPLE + 1, dtype=np.uint64)) % np.uint64(BITS)).astype(np.int64)
+    bit = (mixed(sample.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, sample.shape[1] + 1, dtype=np.uint64)) % np.uint64(BITS)).astype(np.int64)
     parity = np.zeros((len(sample), BITS), np.uint8)
-    np.add.at(parity, (np.repeat(np.arange(len(sample)), SAMPLE), bit.ravel()), 1)
+    np.add.at(parity, (np.repeat(np.arange(len(sample)), sample.shape[1]), bit.ravel()), 1)
     return np.packbits(parity & 1, axis=1)
 
 
 def most_different_bits(threshold: float) -> int:
     """The most bits in which the sketches of a pair at the threshold differ, but for one in a million."""
-    differing = SAMPLE * (1 - threshold) + 4.9 * np.sqrt(SAMPLE * threshold * (1 - threshold)) + 1
+    size = ROWS * bands(threshold)
+    differing = size * (1 - threshold) + 4.9 * np.sqrt(size * threshold * (1 - threshold)) + 1
     flips = 2 * differing
     expected = BITS / 2 * (1 - np.exp(-2 * flips / BITS))
     return int(expected + 2 * np.sqrt(expected * max(1 - 2 * expected / BITS, 0.1)) + 2)
 
 
-def described(docs: DataFrame, n: int = 3) -> DataFrame:
+def described(docs: DataFrame, n: int = 3, threshold: float = 0.85) -> DataFrame:
     """doc_id, n_shingles, node, keys and sketch of each row; the latter three null for empty sets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -110,7 +117,7 @@ def described(docs: DataFrame, n: int = 3) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 keys, sketch = (None, None)
                 if full:
-                    sample = sampled(full)
+                    sample = sampled(full, threshold)
                     keys, sketch = iter(band_keys(sample).tolist()), iter(map(bytes, odd_sketches(sample)))
                 columns = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(keys), next(sketch)) if len(s) else (None, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -192,7 +199,7 @@ def _different(a: Column, b: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
-    told = stored(described(docs, n), "described")
+    told = stored(described(docs, n, threshold), "described")
     nodes = stored(told.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     whole = nodes.select("node", F.explode("keys").alias("key"))
     shared = whole.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")

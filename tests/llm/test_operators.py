@@ -117,6 +117,16 @@ def test_odd_sketch_bound_keeps_pairs_at_the_threshold():
     assert kept == 300
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_bands_follow_from_the_threshold(threshold):
+    import numpy as np
+
+    pool = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = near_dedup.band_keys(near_dedup.sampled([pool, pool[5:]], threshold))
+    assert (1 - threshold**near_dedup.ROWS) ** keys.shape[1] < 1e-6
+    assert (1 - threshold**near_dedup.ROWS) ** (keys.shape[1] - 1) > 1e-6
+
+
 def test_decontamination(spark, docs, none, texts):
     rng = random.Random(8)
     long = next(t for i, t in texts if i == 92).split()
