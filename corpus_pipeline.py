@@ -25,15 +25,20 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
-    found = near_dedup.judged(docs, threshold=0.8, n=5).filter("kept")
-    kept = stored(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n")), "kept")
-    out = docs.join(kept.select("kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    # rows that repeat an id are rare: only they are moved to keep one of each
-    repeated = kept.filter("copies > 1 AND n > 0 AND kept_id IS NOT NULL").select("kept_id")
+    kept = stored(near_dedup.chosen(docs, threshold=0.8, n=5).withColumnsRenamed({"doc_id": "kept_id", "digest": "kept_digest"}), "kept")
+
+    def same(of: DataFrame, how: str) -> DataFrame:
+        return marked.join(of.select("kept_id", "kept_digest"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(digest) == F.col("kept_digest")), how)
+
+    digest = free_name([*docs.columns, "kept_digest"], "digest")
+    marked = docs.withColumn(digest, near_dedup.text_digest(F.col("text")))
+    marked = out = same(kept, "left_semi")
+    # rows that repeat an id and a text are rare: only they are moved to keep one of each
+    repeated = kept.filter("copies > 1")
     if repeated.limit(1).count():
-        once = out.join(repeated, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-        out = out.join(repeated, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_anti").unionByName(once)
-    return out
+        once = same(repeated, "left_semi").dropDuplicates(["doc_id", digest])
+        out = same(repeated, "left_anti").unionByName(once)
+    return out.drop(digest)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

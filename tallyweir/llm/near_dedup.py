@@ -105,7 +105,7 @@ def most_different_bits(threshold: float) -> int:
 
 
 def described(docs: DataFrame, n: int = 3, threshold: float = 0.85) -> DataFrame:
-    """doc_id, n_shingles, node, keys and sketch of each row; the latter three null for empty sets."""
+    """doc_id, n_shingles, node, keys, sketch and the text's digest of each row; node, keys and sketch are null for empty sets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +121,11 @@ def described(docs: DataFrame, n: int = 3, threshold: float = 0.85) -> DataFrame
                     keys, sketch = iter(band_keys(sample).tolist()), iter(map(bytes, odd_sketches(sample)))
                 columns = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(keys), next(sketch)) if len(s) else (None, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, 200), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in columns], pa.binary()), pa.array([c[1] for c in columns], pa.list_(pa.int64())), pa.array([c[2] for c in columns], pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "keys", "sketch"],
+                    [batch.column(0).slice(a, 200), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in columns], pa.binary()), pa.array([c[1] for c in columns], pa.list_(pa.int64())), pa.array([c[2] for c in columns], pa.binary()), pa.array([hashlib.sha256(t.as_py() or b"").digest() for t in texts.slice(a, 200)], pa.binary())],
+                    names=["doc_id", "n_shingles", "node", "keys", "sketch", "digest"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long, node binary, keys array<bigint>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long, node binary, keys array<bigint>, sketch binary, digest binary")
 
 
 def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -197,8 +197,13 @@ def _different(a: Column, b: Column) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(BITS // 64)))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+def text_digest(text: Column) -> Column:
+    """The digest that ``placed`` gives a text; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def placed(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
+    """doc_id, n_shingles, digest of the text, root (null for empty sets) and component_id of each row."""
     told = stored(described(docs, n, threshold), "described")
     nodes = stored(told.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     whole = nodes.select("node", F.explode("keys").alias("key"))
@@ -214,16 +219,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> Dat
     stars = buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(stored(likely(stars), "stars"), nodes, docs, threshold, n)
     roots = components(links)
-    placed = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    rest = stored(placed.join(open_keys, "key"), "open")
+    rooted = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    rest = stored(rooted.join(open_keys, "key"), "open")
     if rest.limit(1).count():
         sets = sets_of(rest.select("node").distinct(), nodes, docs, n)
         more = stored(_between(rest, nodes, sets, threshold, most), "more")
         roots = components(links.unionByName(more))
-    members = told.select("doc_id", "n_shingles", "node").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    members = told.select("doc_id", "n_shingles", "digest", "node").join(roots, "node", "left").select("doc_id", "n_shingles", "digest", F.coalesce("root", "node").alias("root"))
     smallest = nodes.select("node", "doc_id").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("least"))
-    return members.join(smallest, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return members.join(smallest, "root", "left").select("doc_id", "n_shingles", "digest", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row."""
+    return placed(docs, threshold, n).select("doc_id", "n_shingles", "component_id")
+
+
+def chosen(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
+    """doc_id, digest and copies of the one row of each component that stays, by smallest id; of empty sets every row stays and copies is 0.
+
+    Rows with the same id and text are the same row here: ``copies`` of them match, of which one stays.
+    """
+    found = stored(placed(docs, threshold, n), "placed")
+    rows = found.filter("n_shingles > 0").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    # a null id comes last, as in component_id
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "copies")).alias("r")).select("r.doc_id", "r.digest", "r.copies")
+    return first.unionByName(found.filter("n_shingles = 0").select("doc_id", "digest", F.lit(0).cast("long").alias("copies")).distinct())
 
 
 def _between(rest: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:

@@ -407,3 +407,17 @@ def test_pipeline(spark, texts, tmp_path):
     clean = [i for i, _, _, x in rows if not x]
     assert sum(i in out for i in clean) >= 0.97 * len(clean)
     assert len(pipeline.STAGES) == 5 and pipeline.ORACLE_SQL is None
+
+
+def test_one_row_of_each_component_stays_where_ids_repeat(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base, other, third = (" ".join(f"{c}{k}" for k in range(120)) for c in "abc")
+    rows = [(1, base), (1, base + " end"), (2, base + " tail"), (2, other), (3, other), (3, other), (None, third), (None, third), (4, None), (4, ""), (4, None), (None, ""), (5, "short"), (5, "text")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = pipeline.one_of_each(spark, frame, "")
+    found = Counter((r.doc_id, r.text) for r in out.collect())
+    of_base = [k for k in found if k[1] and k[1].startswith("a0 ")]
+    assert len(of_base) == 1 and of_base[0] in {(1, base), (1, base + " end")} and found[of_base[0]] == 1
+    del found[of_base[0]]
+    assert found == Counter([(2, other), (None, third), (4, None), (4, ""), (4, None), (None, ""), (5, "short"), (5, "text")])
+    assert out.columns == frame.columns
