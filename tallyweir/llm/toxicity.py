@@ -13,8 +13,8 @@ end count as letters; against a beginning, a word's first letters are held.
 Labels are of documents, the machine judges sentences: it is trained on the
 sentences of clean documents against the worst sentence of each toxic document,
 which is chosen anew after each fit; toxic documents also stand in the sample
-as copies whose telling words have a letter put in or left out. A document's margin is that of its worst
-sentence, put between 0 and 1 by a logistic curve fitted to the sample. Each
+as copies whose telling words have one or two letters put in or left out. A document's margin is that of its worst
+sentence, put between 0 and 1 by a logistic curve fitted to the sample, copies included. Each
 distinct word is held against the landmarks once per worker; a word whose longest common subsequence with a landmark is shorter than
 ``ORDER`` letters (then the kernel is exactly 0) or than ``LEAST_SHARED`` of the
 landmark counts as having nothing in common with it and skips the recursion.
@@ -287,14 +287,15 @@ def fit(rows: list[tuple[str, int]], most_landmarks: int = 64, frequent: int = 2
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
-    # copies of toxic texts with a character put into their telling words, or one taken out
+    # copies of toxic texts with one or two characters put into their telling words, or taken out
     rng = random.Random(11)
     for text, label in list(zip(texts, y, strict=True)):
         if label > 0:
             copy = [[_disturbed(w, rng) if f"^{letters(w)}$".startswith(telling) else w for w in s] for s in text]
             if copy != text:
                 texts.append(copy)
-    real, y = len(y), np.concatenate([y, np.ones(len(texts) - len(y))])
+                texts.append([[_disturbed(_disturbed(w, rng), rng) if f"^{letters(w)}$".startswith(telling) else w for w in s] for s in text])
+    y = np.concatenate([y, np.ones(len(texts) - len(y))])
 
     distinct = sorted({w for text in texts for s in text for w in s})
     of_word = dict(zip(distinct, _of_words(distinct, landmarks, scale), strict=True))
@@ -322,7 +323,7 @@ def fit(rows: list[tuple[str, int]], most_landmarks: int = 64, frequent: int = 2
         w = _svm(x[take], side, cost)
         margin = x @ w[:-1] + w[-1]
     worst = np.array([margin[a:b].max() for a, b in zip(start, start[1:], strict=False)])
-    slope, offset = _logistic(worst[:real], y[:real])
+    slope, offset = _logistic(worst, y)
     return Model(landmarks, scale, root @ w[:-1], float(w[-1]), slope, offset)
 
 

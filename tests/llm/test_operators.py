@@ -312,6 +312,23 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.judged(frame, flat).collect()} == {0.5}
 
 
+def test_toxicity_finds_insults_with_letters_put_in():
+    rows = labelled(random.Random(1), 400)
+    model = toxicity.fit([(t, x) for _, t, _, x in rows if t])
+    scorer, rng = toxicity.Scorer(model), random.Random(4)
+
+    def put_in(word, n):
+        for _ in range(n):
+            at = rng.randrange(1, len(word))
+            word = word[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[at:]
+        return word
+
+    for n, least in ((1, 0.95), (2, 0.35)):
+        scores = scorer.scores([f"{words(rng, 10)} {put_in(w, n)} {words(rng, 10)}" for w in ("grobbly", "snarkfool", "dunderhat") for _ in range(40)])
+        assert sum(x >= 0.5 for x in scores) / len(scores) >= least, n
+    assert sum(x >= 0.5 for x in scorer.scores([words(rng, 60) for _ in range(200)])) <= 2
+
+
 def test_subsequence_kernel_against_enumeration():
     from itertools import combinations
 
