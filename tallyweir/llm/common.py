@@ -5,8 +5,9 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), n_chars.alias("n_chars"))
     # the sample is bounded by ``rows``: 12 bytes a row to broadcast
     return texts.filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("text", "y", "n_chars")).alias("r")).select(F.col("id").alias("doc_id"), "r.text", "r.y", "r.n_chars")
+
+
+class Remembered(dict):
+    """Values by key, worked out when first asked for; old ones are forgotten so that about ``2 * most`` bytes stay.
+
+    When ``most`` bytes are held they become the older generation, from which a
+    key that is asked for again returns to the younger. Long keys are not kept.
+    """
+
+    def __init__(self, work: Callable[[Any], Any], most: int, longest: int = 256):
+        super().__init__()
+        self._work, self._most, self._longest, self._held, self._older = work, most, longest, 0, {}
+
+    def __missing__(self, key: Any) -> Any:
+        if len(key) > self._longest:
+            return self._work(key)
+        value = self._older.get(key)
+        if value is None:
+            value = self._work(key)
+        if self._held > self._most:
+            self._older, self._held = self.copy(), 0
+            self.clear()
+        self[key] = value
+        # an object of Python's takes about 50 bytes beside its content, an entry of a dict about 100
+        self._held += 200 + len(key) + (len(value) if isinstance(value, (bytes, str)) else 0)
+        return value
+
+
+def read_text(path: str) -> str:
+    """A small file that the driver reads."""
+    return Path(path).read_text(encoding="utf-8")

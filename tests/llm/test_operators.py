@@ -12,6 +12,7 @@ import pytest
 pytest.importorskip("tallyweir.llm")
 
 from tallyweir.llm import bpe, decontamination, interpolation, near_dedup, pii, quality, quality_rules, sharding, toxicity, url_rules  # noqa: E402
+from tallyweir.llm.common import Remembered, read_text  # noqa: E402
 from tallyweir.llm.queries import tokenizer_path, url_rule_set  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,7 +60,7 @@ def test_bpe_as_the_library_does(docs, none, texts):
 
     library = Tokenizer.from_file(tokenizer_path())
     odd = ["it's We'LL ΣΑΣ", "<|endoftext|>a <|ENDOFTEXT|>", "½ ٣ \x85\xa0b é", "!!!???" * 30, "İx"]
-    model = bpe.PrefixBpe(tokenizer_path())
+    model = bpe.PrefixBpe(read_text(tokenizer_path()))
     for t in [*odd, *(t or "" for _, t in texts)]:
         expected = library.encode(t, add_special_tokens=False).ids
         assert model.encode(t) == expected
@@ -74,6 +75,29 @@ def test_bpe_as_the_library_does(docs, none, texts):
     assert "ids_" in bpe.encode(docs, tokenizer_path()).columns  # beside the column that has the name
 
 
+def test_bpe_over_all_code_points_and_fuzzed_strings():
+    from tokenizers import Tokenizer
+
+    library, model = Tokenizer.from_file(tokenizer_path()), bpe.PrefixBpe(read_text(tokenizer_path()))
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [form.replace("c", c) for c in points[:0x3100] for form in ("c", "acb", "Acc'S")]
+    texts += ["x" + "y ".join(points[a : a + 64]) + " " + "".join(points[a : a + 64]) for a in range(0, len(points), 64)]
+    rng = random.Random(5)
+    pool = [*map(chr, range(33, 0x250)), *" \t\u0085\x1c\u00ad\u0301\u0327\u00a0\u3000ßΣςſKÅ日<|>'", "<|endoftext|>", "the", "ing", "ment"]
+    texts += ["".join(rng.choices(pool, k=rng.randrange(1, 14))) for _ in range(100_000)]
+    wrong = [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if model.encode(t) != e.ids]
+    assert not wrong, wrong[:5]
+
+
+def test_bpe_round_trip_and_long_runs(spark, docs, none):
+    path = tokenizer_path()
+    apart = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    assert bag(map(repr, map(tuple, apart.collect()))) == bag(map(repr, map(tuple, bpe.round_trip(docs.select("doc_id", "text"), path).collect())))
+    assert bpe.round_trip(none, path).count() == 0 and bpe.round_trip(docs, path).columns == [*docs.columns, "ids_", "decoded"]
+    forgetful = Remembered(lambda key: key + key, 1000)
+    assert all(forgetful[k] == k + k for _ in range(3) for k in [*(b"k%d" % n for n in range(40)), b"z" * 300]) and len(forgetful) < 10
+
+
 def shingles(text, n=3):
     w = WORD.findall((text or "").translate(LOWER))
     return frozenset(zip(*(w[k:] for k in range(min(n, len(w)))), strict=False)) if w else frozenset()
