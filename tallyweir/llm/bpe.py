@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyweir.llm.common import Remembered, free_name, read_text
+from tallyweir.llm.common import Remembered, free_name, in_arrow, read_text, slices
 
 END = "\n"  # stands for the end-of-word mark inside the automaton; no byte symbol is a line feed
 REMEMBERED, PAIRS = 40 << 20, 300_000  # bytes of pre-tokens and pairs of tokens that a worker remembers
@@ -224,16 +224,6 @@ def _append(batch: pa.RecordBatch, array: pa.Array, field: T.StructField) -> pa.
     return pa.RecordBatch.from_arrays([*batch.columns, array], names=[*batch.schema.names, field.name])
 
 
-def _slices(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``most`` bytes of the string column ``at``, one row at least."""
-    raw = batch.column(at).cast(pa.large_binary())
-    size = np.diff(np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)) if len(raw) else np.zeros(0, np.int64)
-    cut = np.flatnonzero(np.diff(np.cumsum(size) // most, prepend=0)).tolist()
-    for a, b in zip([0, *cut], [*cut, len(raw)], strict=True):
-        if a < b:
-            yield batch.slice(a, b - a)
-
-
 def _id_lists(packed: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *map(len, packed)]) // 4
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -258,12 +248,12 @@ def _encoded(df: DataFrame, path: str, text: str, ids: str, decoded: str | None)
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model()
         for whole in batches:
-            for part in _slices(whole, at, _SLICE_BYTES):
+            for part in slices(whole, at, _SLICE_BYTES):
                 packed = [bpe.packed(value or "") for value in part.column(at).to_pylist()]
                 now = _append(part, _id_lists(packed), fields[0])
                 yield _append(now, pa.array([bpe.decode(array("i", row)) for row in packed], pa.string()), fields[1]) if decoded else now
 
-    return df.mapInArrow(rows, T.StructType([*df.schema.fields, *fields]))
+    return in_arrow(df, rows, T.StructType([*df.schema.fields, *fields]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -279,7 +269,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in column.slice(a, 100)]
                 yield _append(whole.slice(a, 100), pa.array(texts, pa.string()), field)
 
-    return df.mapInArrow(rows, T.StructType([*df.schema.fields, field]))
+    return in_arrow(df, rows, T.StructType([*df.schema.fields, field]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -291,7 +281,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model()
         for whole in batches:
-            for part in _slices(whole, 1, _SLICE_BYTES):
+            for part in slices(whole, 1, _SLICE_BYTES):
                 counts, ids, decoded = [], [], []
                 for value in part.column(1).to_pylist():
                     found = array("i", bpe.packed(value or ""))
@@ -300,4 +290,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     decoded.append(hashlib.sha256(bpe.decode(found).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
-    return docs.mapInArrow(rows, schema)
+    return in_arrow(docs, rows, schema)

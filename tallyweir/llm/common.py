@@ -5,13 +5,17 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
@@ -62,6 +66,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes, after which the worker gives memory back."""
+    bounded_batches(df.sparkSession)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches between JVM and Python of ``BATCH_BYTES``, unless the session says otherwise; rows alone don't bound them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, at: int, most: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of the string or binary column ``at``, one row at least."""
+    raw = batch.column(at).cast(pa.large_binary())
+    size = np.diff(np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)) if len(raw) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum(size + most // rows) // most, prepend=0)).tolist()
+    for a, b in zip([0, *cut], [*cut, len(raw)], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -21,10 +21,14 @@ what can be reached over links.
    found before has put together, are skipped, so a block gives fewer links than
    it has nodes however many pairs it holds.
 
+No join sends a hot key to one task: rows without a set never enter one, and the
+sides of every other join are stored tables or exchanges of them, so that adaptive
+execution can split a heavy key (a bucket, a star's centre, the copies of one text,
+a large component) between tasks.
+
 At the threshold a pair shares no band with a probability below 1e-6 (24 bands for
-0.85, 35 for 0.8) and fails the sketch test with one of the same order. Star centres that
-many pairs share are salted before verification. Every table between steps is
-written to the shared folder; components are found by joins, never on the driver.
+0.85, 35 for 0.8) and fails the sketch test with one of the same order. Every table between steps is
+written to the shared folder and deleted when nothing reads it any more; components are found by joins, never on the driver.
 
 Defined cases: a text of fewer than three words has its whole sequence as its one
 shingle; null, empty and wordless texts have an empty set and link with nothing,
@@ -44,10 +48,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import dropped, stored
+from tallyweir.llm.common import dropped, in_arrow, slices, stored
 from tallyweir.llm.shingles import WordHashes, mixed, shingle_set
 
-ROWS, BITS, SALTS = 5, 512, 64
+ROWS, BITS = 5, 512
+SLICE_BYTES = 1 << 20  # of text or sets at a time
 BLOCK_NODES, BLOCK_BYTES = 1000, 16 << 20
 
 
@@ -88,11 +93,11 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(sample: np.ndarray) -> np.ndarray:
-    """Parity bitmaps as bytes, sets by BITS / 8."""
+    """Parity bitmaps, sets by BITS / 64 words."""
     bit = (mixed(sample.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, sample.shape[1] + 1, dtype=np.uint64)) % np.uint64(BITS)).astype(np.int64)
     parity = np.zeros((len(sample), BITS), np.uint8)
     np.add.at(parity, (np.repeat(np.arange(len(sample)), sample.shape[1]), bit.ravel()), 1)
-    return np.packbits(parity & 1, axis=1)
+    return np.packbits(parity & 1, axis=1).view(np.uint64)
 
 
 def most_different_bits(threshold: float) -> int:
@@ -111,61 +116,70 @@ def described(docs: DataFrame, n: int = 3, threshold: float = 0.85) -> DataFrame
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for a in range(0, batch.num_rows, 200):
-                sets = [shingles(t.as_py(), n, known) for t in texts.slice(a, 200)]
+            for part in slices(batch, 1, SLICE_BYTES):
+                texts = part.column(1).cast(pa.large_binary()).to_pylist()
+                sets = [shingles(t, n, known) for t in texts]
                 full = [s for s in sets if len(s)]
                 keys, sketch = (None, None)
                 if full:
                     sample = sampled(full, threshold)
-                    keys, sketch = iter(band_keys(sample).tolist()), iter(map(bytes, odd_sketches(sample)))
-                columns = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(keys), next(sketch)) if len(s) else (None, None, None) for s in sets]
+                    keys, sketch = iter(band_keys(sample).tolist()), iter(odd_sketches(sample).view(np.int64).tolist())
+                columns = [(node_of(s), next(keys), next(sketch)) if len(s) else (None, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, 200), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in columns], pa.binary()), pa.array([c[1] for c in columns], pa.list_(pa.int64())), pa.array([c[2] for c in columns], pa.binary()), pa.array([hashlib.sha256(t.as_py() or b"").digest() for t in texts.slice(a, 200)], pa.binary())],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in columns], pa.binary()), pa.array([c[1] for c in columns], pa.list_(pa.int64())), pa.array([c[2] for c in columns], pa.list_(pa.int64())), pa.array([hashlib.sha256(t or b"").digest() for t in texts], pa.binary())],
                     names=["doc_id", "n_shingles", "node", "keys", "sketch", "digest"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long, node binary, keys array<bigint>, sketch binary, digest binary")
+    return in_arrow(docs.select("doc_id", "text"), rows, f"doc_id {kind}, n_shingles long, node binary, keys array<bigint>, sketch array<bigint>, digest binary")
+
+
+def node_of(full: np.ndarray) -> bytes:
+    """The digest that stands for a whole set."""
+    return hashlib.blake2b(full.tobytes(), digest_size=16).digest()
 
 
 def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """node and set (its shingle hashes as bytes) of the wanted nodes, from their texts alone."""
     # the documents of the nodes in question only; a null id joins as a value of its own
-    ids = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("id")).distinct()
+    ids = stored(wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("id")).distinct(), "ids")
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                sets = [s for t in batch.column(0).slice(a, 500).cast(pa.large_binary()) if len(s := shingles(t.as_py(), n, known))]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+            for part in slices(batch, 0, SLICE_BYTES):
+                sets = [s for t in part.column(0).cast(pa.large_binary()).to_pylist() if len(s := shingles(t, n, known))]
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    return stored(texts.select("text").mapInArrow(rows, "node binary, set binary").dropDuplicates(["node"]), "sets")
+    found = stored(in_arrow(texts.select("text"), rows, "node binary, set binary").dropDuplicates(["node"]), "sets")
+    dropped(ids)
+    return found
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, n: int = 3) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough; ``nodes`` has node and doc_id of one document each."""
     per_mille = round(threshold * 1000)
-    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct(), nodes, docs, n)
-    # a centre of many pairs is dealt to SALTS tasks: its set is copied once a salt, never once a pair
-    counts = pairs.groupBy("a").count().withColumn("salts", F.when(F.col("count") > 500, SALTS).otherwise(1)).drop("count")
-    left = counts.join(sets, counts.a == sets.node).select("a", "salts", F.col("set").alias("set_a")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    right = salted.join(sets, salted.b == sets.node).select("a", "b", "salt", F.col("set").alias("set_b"))
-    both = right.join(left.drop("salts"), ["a", "salt"])
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct(), "wanted")
+    sets = sets_of(wanted, nodes, docs, n)
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(1000 * shared >= per_mille * (len(s) + len(t) - shared))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
-
-    return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(alike, "a binary, b binary"), "links")
+            for part in slices(batch, 2, SLICE_BYTES):
+                keep = []
+                for x, y in zip(part.column(2), part.column(3), strict=True):
+                    s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    at = np.minimum(np.searchsorted(s, t), len(s) - 1)
+                    shared = int((s[at] == t).sum())
+                    keep.append(1000 * shared >= per_mille * (len(s) + len(t) - shared))
+                kept = part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
+
+    links = stored(in_arrow(both, alike, "a binary, b binary"), "links")
+    dropped(sets)
+    dropped(wanted)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,23 +192,24 @@ def components(links: DataFrame) -> DataFrame:
     state = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
     while True:
         near = edges.join(state, edges.b == state.node).groupBy("a").agg(F.min("root").alias("m"))
-        joined = state.join(near, state.node == near.a).select("node", "root", F.least("root", "m").alias("now"))
+        joined = stored(state.join(near, state.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "m").alias("now")), "joined")
         # the root of a node may itself have learnt of a smaller one
-        hooks = joined.filter(F.col("now") < F.col("root")).groupBy("root").agg(F.min("now").alias("better"))
-        moved = joined.select("node", F.col("root").alias("old"), "now").join(hooks.select(F.col("root").alias("old"), "better"), "old", "left").select("node", "old", F.coalesce(F.least("now", "better"), F.col("now")).alias("mid"))
-        roots = moved.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        following = stored(moved.join(roots, "mid", "left").select("node", "old", F.coalesce(F.least("mid", "far"), F.col("mid")).alias("root")), "roots")
-        changed = following.filter(F.col("root") != F.col("old")).limit(1).count()
-        dropped(state)
-        state = following.select("node", "root")
-        if not changed:
+        hooks = stored(joined.filter(F.col("now") < F.col("old")).groupBy("old").agg(F.min("now").alias("better")), "hooks")
+        if not hooks.limit(1).count():
+            for done in (edges, joined, hooks):
+                dropped(done)
             return state
+        moved = stored(joined.join(hooks, "old", "left").select("node", F.coalesce(F.least("now", "better"), F.col("now")).alias("mid")), "moved")
+        roots = moved.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
+        following = stored(moved.join(roots, "mid", "left").select("node", F.coalesce(F.least("mid", "far"), F.col("mid")).alias("root")), "roots")
+        for done in (state, joined, hooks, moved):
+            dropped(done)
+        state = following
 
 
 def _different(a: Column, b: Column) -> Column:
     """In how many bits two sketches differ."""
-    word = lambda s, k: F.conv(F.hex(F.substring(s, 8 * k + 1, 8)), 16, -10).cast("long")
-    return reduce(lambda x, y: x + y, (F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(BITS // 64)))
+    return reduce(lambda x, y: x + y, (F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(BITS // 64)))
 
 
 def text_digest(text: Column) -> Column:
@@ -205,10 +220,12 @@ def text_digest(text: Column) -> Column:
 def placed(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
     """doc_id, n_shingles, digest of the text, root (null for empty sets) and component_id of each row."""
     told = stored(described(docs, n, threshold), "described")
-    nodes = stored(told.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    full = told.filter("node IS NOT NULL")
+    nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     whole = nodes.select("node", F.explode("keys").alias("key"))
-    shared = whole.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
-    buckets = stored(whole.join(shared, "key").select("key", "n", "centre", "node"), "buckets")
+    shared = stored(whole.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1").drop("n"), "shared")
+    buckets = stored(whole.join(shared, "key").select("key", "centre", "node"), "buckets")
+    dropped(shared)
     most = most_different_bits(threshold)
     sketches = nodes.select("node", "sketch")
 
@@ -216,19 +233,36 @@ def placed(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
         a, b = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
         return pairs.join(b, "b").join(a, "a").filter(_different(F.col("sa"), F.col("sb")) <= most).select("a", "b")
 
-    stars = buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stored(likely(stars), "stars"), nodes, docs, threshold, n)
+    stars = stored(likely(buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), "stars")
+    links = verified(stars, nodes, docs, threshold, n)
+    dropped(stars)
     roots = components(links)
-    rooted = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    rest = stored(rooted.join(open_keys, "key"), "open")
+    rooted = stored(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    dropped(buckets)
+    open_keys = stored(rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"), "open")
+    rest = stored(rooted.join(open_keys, "key"), "rest")
+    for done in (rooted, open_keys):
+        dropped(done)
     if rest.limit(1).count():
-        sets = sets_of(rest.select("node").distinct(), nodes, docs, n)
+        wanted = stored(rest.select("node").distinct(), "wanted")
+        sets = sets_of(wanted, nodes, docs, n)
         more = stored(_between(rest, nodes, sets, threshold, most), "more")
-        roots = components(links.unionByName(more))
-    members = told.select("doc_id", "n_shingles", "digest", "node").join(roots, "node", "left").select("doc_id", "n_shingles", "digest", F.coalesce("root", "node").alias("root"))
-    smallest = nodes.select("node", "doc_id").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("least"))
-    return members.join(smallest, "root", "left").select("doc_id", "n_shingles", "digest", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        if more.limit(1).count():
+            dropped(roots)
+            roots = components(links.unionByName(more))
+        for done in (wanted, sets, more):
+            dropped(done)
+    dropped(links)
+    dropped(rest)
+    # of the linked nodes, the least id of the component; all others are components of their own
+    least = stored(roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    linked = roots.join(least, "root").select("node", "root", "least")
+    told_of = stored(nodes.select("node", "doc_id").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")), "members")
+    for done in (roots, least, nodes):
+        dropped(done)
+    columns = ["doc_id", "n_shingles", "digest", "root", "component_id"]
+    empty = told.filter("node IS NULL").select("doc_id", "n_shingles", "digest", F.col("node").alias("root"), F.col("doc_id").alias("component_id"))
+    return full.select("doc_id", "n_shingles", "digest", "node").join(told_of, "node").select(columns).unionByName(empty)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
@@ -252,14 +286,14 @@ def _between(rest: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: floa
     """Links between components within the open buckets (key, node, root), searched block against block."""
     per_mille = round(threshold * 1000)
     told = nodes.select("node", "keys", "sketch").join(sets, "node")
-    sizes = rest.join(told.select("node", F.octet_length("set").alias("bytes")), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = stored(rest.join(told.select("node", F.octet_length("set").alias("bytes")), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
     own = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(told, "node")
     # a row of block i goes to every pair (i, j), so a bucket of k blocks is searched in k (k + 1) / 2 groups
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "keys", "sketch", "set")
 
     def search(table: pa.Table) -> pa.Table:
         node, own = table.column("node").to_pylist(), np.array(table.column("own"))
-        bits = np.stack([np.frombuffer(s, np.uint64) for s in table.column("sketch").to_pylist()])
+        bits = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
         keys = np.array(table.column("keys").to_pylist(), np.int64)
         full = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
         size = np.array([len(s) for s in full])

@@ -137,7 +137,7 @@ def test_odd_sketch_bound_keeps_pairs_at_the_threshold():
         pool = rng.integers(0, 1 << 63, 231, dtype=np.uint64)
         a, b = pool[:216], pool[17:]
         bits = near_dedup.odd_sketches(near_dedup.sampled([np.unique(a), np.unique(b)]))
-        kept += int(np.unpackbits(bits[0] ^ bits[1]).sum()) <= most
+        kept += int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= most
     assert kept == 300
 
 
