@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyweir.llm.common import Remembered, free_name, in_arrow, read_text, slices
+from tallyweir.llm.common import Remembered, free_name, in_arrow, read_text, slices, worker_memory
 
 END = "\n"  # stands for the end-of-word mark inside the automaton; no byte symbol is a line feed
 REMEMBERED, PAIRS = 40 << 20, 300_000  # bytes of pre-tokens and pairs of tokens that a worker remembers
@@ -202,22 +202,12 @@ class PrefixBpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-#: The model of this worker by the digest of its file.
-_MODELS: dict[bytes, PrefixBpe] = {}
-
-
 def _models(df: DataFrame, path: str) -> Callable[[], PrefixBpe]:
     """The model on a worker; the driver reads the file and sends its text, so executors need no path of it."""
     text = read_text(path)
-    digest, sent = hashlib.sha256(text.encode()).digest(), df.sparkSession.sparkContext.broadcast(text)
-
-    def of() -> PrefixBpe:
-        if digest not in _MODELS:
-            _MODELS.clear()
-            _MODELS[digest] = PrefixBpe(sent.value)
-        return _MODELS[digest]
+    digest, sent = hashlib.sha256(text.encode()).hexdigest(), df.sparkSession.sparkContext.broadcast(text)
 
-    return of
+    return lambda: worker_memory(digest, lambda: PrefixBpe(sent.value))
 
 
 def _append(batch: pa.RecordBatch, array: pa.Array, field: T.StructField) -> pa.RecordBatch:

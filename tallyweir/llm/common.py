@@ -155,6 +155,17 @@ class Remembered(dict):
         return value
 
 
+_MEMORY: dict[str, Any] = {}
+
+
+def worker_memory(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks under a name; only the latest name's is kept."""
+    if name not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[name] = make()
+    return _MEMORY[name]
+
+
 def read_text(path: str) -> str:
     """A small file that the driver reads."""
     return Path(path).read_text(encoding="utf-8")

@@ -1,35 +1,42 @@
 """Toxicity: a support vector machine over a subsequence string kernel with Nystroem landmarks.
 
-The kernel of two words sums, over the subsequences of ``ORDER`` letters that
+The kernel of two strings sums, over the subsequences of ``ORDER`` letters that
 they share, gaps included, ``DECAY`` to the power of the stretches they span; it
 is scaled to 1 for equal strings and raised to ``POWER`` (a product of kernels is
-a kernel). So ``mxoron`` and ``mor-on`` stay near ``moron``. A sentence has, against each landmark, the
-kernel of its nearest word, so long sentences don't add up chance likeness. Nystroem features are
-the kernels against landmark words times the inverse root of the landmarks' own
-kernel matrix; the landmarks are the words and beginnings of words that tell the
-sample's classes apart, and its most frequent words. Marks of a word's start and
-end count as letters; against a beginning, a word's first letters are held.
+a kernel). So ``mxoron`` and ``mor-on`` stay near ``moron``. Marks of a word's
+start and end count as letters, and long words are read in windows that overlap
+by half. The kernel of two sentences sums those of all pairs of their
+distinct words, so it is a kernel as well, and a sentence's margin is a sum over its
+words. Nystroem features are the kernels against landmarks times the inverse root
+of the landmarks' own kernel matrix. Landmarks span both classes: the words that
+tell the sample's toxic texts apart, the words of clean texts that look most
+like those, and the most frequent words.
 
 Labels are of documents, the machine judges sentences: it is trained on the
 sentences of clean documents against the worst sentence of each toxic document,
-which is chosen anew after each fit; toxic documents also stand in the sample
-as copies whose telling words have one or two letters put in or left out. A document's margin is that of its worst
-sentence, put between 0 and 1 by a logistic curve fitted to the sample, copies included. Each
-distinct word is held against the landmarks once per worker; a word whose longest common subsequence with a landmark is shorter than
-``ORDER`` letters (then the kernel is exactly 0) or than ``LEAST_SHARED`` of the
-landmark counts as having nothing in common with it and skips the recursion.
+which is chosen anew after each fit. Toxic documents also stand in the sample as
+copies whose telling words have one or two letters put in, doubled or left out,
+and as short sentences with a single disturbed telling word. A document's margin
+is that of its worst sentence, put between 0 and 1 by a logistic curve fitted to
+the sample, copies included. A sentence ends at ``.``, ``!``, ``?`` with white space
+after it, at a line feed, and after ``STRETCH`` words, so that what chance likeness
+can add up to is bounded.
+
+Each distinct word is held against all landmarks once per worker, in one recursion
+along the tree of the landmarks' common beginnings; no pair is left out.
 
 Before the kernel, letters are case-folded, stand-ins such as ``0`` and ``@``
 become letters, other characters inside a word are taken out, and single
-characters with spaces between them are joined. Words of more than ``SPAN``
-letters are read in windows that overlap by half.
+characters with spaces between them are joined.
 
 The fit sees at most ``sample_rows`` labelled rows of at most ``sample_chars``
-characters; scoring is one pass over whole texts without a shuffle.
+characters; scoring is one pass over whole texts without a shuffle, and only the
+text goes to Python.
 
 Defined cases: null and empty texts have the margin of a sentence without words;
 without both classes in the sample every text gets the smoothed share of toxic
-rows; repeated rows are scored each; other columns are ignored.
+rows; repeated rows are scored each; other columns pass through ``score``
+unchanged, and its output's name gets underscores where it would clash.
 """
 
 from __future__ import annotations
@@ -37,6 +44,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -47,14 +55,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweir.llm.common import fold, labelled_sample
+from tallyweir.llm.common import bounded_batches, fold, free_name, labelled_sample, shipped, slices, worker_memory
 
-ORDER, DECAY, POWER, SPAN, LEAST_SHARED, SLACK = 4, 0.8, 2, 24, 0.7, 2
+ORDER, DECAY, POWER, SPAN, STRETCH, RIDGE, TOXIC_COST = 5, 0.8, 3, 24, 40, 0.03, 4.0
 _STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]? ){3,}\w[^\w\s]?(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGES = ".,;:!?\"'()[]{}#*$%&|<>-_=+~/\\"
-_KEPT = 200_000
+COVER = 4
+BATCH = 1024  # strings whose sums stay in a processor's cache
+SLICE_BYTES = 4 << 20  # of text at a time
+REMEMBERED = 250_000  # words that a worker remembers in each of two generations, about 200 bytes each
 
 
 def letters(word: str) -> str:
@@ -65,21 +76,23 @@ def letters(word: str) -> str:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence of a whole text, case-folded."""
+    """The words of each sentence of a whole text, case-folded; long sentences in stretches."""
     text = text.lower()
     if _SPACED.search(text):
         text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
-    return [s.split() for s in _SENTENCE.split(text)]
+    out = []
+    for sentence in _SENTENCE.split(text):
+        words = sentence.split()
+        out += [words[a : a + STRETCH] for a in range(0, len(words), STRETCH)]
+    return out or [[]]
 
 
-def marked(word: str) -> list[str]:
-    """The word between marks of its start and end, in windows if it is long."""
-    if len(word) < ORDER - 1:
-        return []
-    word = f"^{word}$"
-    if len(word) <= SPAN:
-        return [word]
-    return [word[a : a + SPAN] for a in range(0, len(word) - SPAN // 2, SPAN // 2)]
+def pieces(word: str) -> list[str]:
+    """The strings that stand for a word of letters only."""
+    if len(word) + 2 < ORDER:
+        return []  # too short for any subsequence of ORDER letters
+    marked = f"^{word}$"
+    return [marked] if len(marked) <= SPAN else [marked[a : a + SPAN] for a in range(0, len(marked) - SPAN // 2, SPAN // 2)]
 
 
 def _codes(words: Sequence[str], pad: int) -> np.ndarray:
@@ -89,78 +102,94 @@ def _codes(words: Sequence[str], pad: int) -> np.ndarray:
     return out
 
 
-def _common(codes: np.ndarray, landmark: str) -> np.ndarray:
-    """Length of the longest common subsequence of each row with the landmark (bit-parallel)."""
-    masks = {ord(c): np.uint64(sum(1 << i for i, x in enumerate(landmark) if x == c)) for c in set(landmark)}
-    state = np.full(len(codes), np.uint64((1 << len(landmark)) - 1))
-    for i in range(codes.shape[1]):
-        hit = np.zeros(len(codes), np.uint64)
-        for c, mask in masks.items():
-            hit[codes[:, i] == c] = mask
-        both = state & hit
-        state = (state + both) | (state & ~hit)
-    state &= np.uint64((1 << len(landmark)) - 1)
-    return len(landmark) - np.bitwise_count(state).astype(np.int64)
-
-
 def _paired(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The unscaled kernel of each row of s with the same row of t (codes, padded apart)."""
-    n, ls = s.shape
-    lt = t.shape[1]
-    square = DECAY * DECAY
-    stretch = np.zeros((ls + 1, lt + 1, n), np.float64)  # of the order before: sums over all earlier ends, decayed
-    match = [[s[:, i] == t[:, j] for j in range(lt)] for i in range(ls)]
-    total = np.zeros(n)
-    for order in range(1, ORDER + 1):
-        now = np.zeros((ls + 1, lt + 1, n), np.float64)
-        for i in range(order, ls + 1):
-            for j in range(order, lt + 1):
-                here = match[i - 1][j - 1] * (square if order == 1 else square * stretch[i - 1, j - 1])
-                if order == ORDER:
-                    total += here
-                else:
-                    now[i, j] = here + DECAY * (now[i - 1, j] + now[i, j - 1]) - square * now[i - 1, j - 1]
-        stretch = now
-    return total
-
-
-def own(landmarks: Sequence[str]) -> np.ndarray:
-    """Each landmark's kernel with itself."""
-    codes = _codes(landmarks, -1)
-    return _paired(codes, np.where(codes < 0, -2, codes)) if landmarks else np.zeros(0)
-
-
-def kernels(words: Sequence[str], landmarks: Sequence[str], scale: np.ndarray) -> np.ndarray:
-    """Kernels, words by landmarks, scaled to 1 for equal strings; 0 where the longest common subsequence is short."""
-    out = np.zeros((len(words), len(landmarks)))
-    if not len(words) or not len(landmarks):
-        return out
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    needed = [max(ORDER, math.ceil(LEAST_SHARED * len(m))) for m in landmarks]
-    # letters in common, with multiplicity, bound the common subsequence from above and cost less
-    codes = _codes(words, -1)
-    alphabet = {c: k for k, c in enumerate(sorted(set("".join(landmarks))))}
-    ours = np.stack([(codes == ord(c)).sum(1, dtype=np.int8) for c in alphabet])
-    rows_of, cols_of = [], []
-    for m, mark in enumerate(landmarks):
-        bound = np.zeros(len(words), np.int8)
-        for c, n in Counter(mark).items():
-            bound += np.minimum(ours[alphabet[c]], np.int8(n))
-        likely = np.flatnonzero(bound >= needed[m])
-        if len(likely):
-            likely = likely[_common(codes[likely, : int(size[likely].max())], mark) >= needed[m]]
-        rows_of.append(likely)
-        cols_of.append(np.full(len(likely), m))
-    rows, cols = np.concatenate(rows_of), np.concatenate(cols_of)
-    if not len(rows):
-        return out
-    order = np.lexsort((cols, size[rows]))
+    """The unscaled kernel of each row of s with the same row of t (codes, padded apart).
+
+    With every cell (i, j) of the usual recursion divided by DECAY ** (i + j), the
+    sums over earlier ends lose their factors and become sums over a rectangle.
+    """
+    ls, lt = s.shape[1], t.shape[1]
+    match = (np.ascontiguousarray(s.T)[:, None, :] == np.ascontiguousarray(t.T)[None, :, :]).astype(np.float64)
+    decay = (DECAY ** (np.arange(ls)[:, None] + np.arange(lt)[None, :] + 2))[:, :, None]
+    here = match * (DECAY * DECAY / decay)
+    for _ in range(ORDER - 1):
+        for i in range(1, ls):
+            here[i] += here[i - 1]
+        for j in range(1, lt):
+            here[:, j] += here[:, j - 1]
+        here[1:, 1:] = match[1:, 1:] * here[:-1, :-1]
+        here[0] = 0
+        here[:, 0] = 0
+    return (here * decay).sum((0, 1))
+
+
+def own(strings: Sequence[str]) -> np.ndarray:
+    """Each string's kernel with itself."""
+    out = np.zeros(len(strings))
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    order = np.argsort(size, kind="stable")
     for a in range(0, len(order), 4096):
-        pick = order[a : a + 4096]
-        r, m = rows[pick], cols[pick]
-        near = [words[i] if landmarks[k].endswith("$") else words[i][: len(landmarks[k]) + SLACK] for i, k in zip(r, m, strict=True)]
-        raw = _paired(_codes(near, -1), _codes([landmarks[k] for k in m], -2))
-        out[r, m] = raw / np.sqrt(np.maximum(own(near), 1e-300) * scale[m])
+        codes = _codes([strings[i] for i in order[a : a + 4096]], -1)
+        out[order[a : a + 4096]] = _paired(codes, np.where(codes < 0, -2, codes))
+    return out
+
+
+def _trie(landmarks: Sequence[str]) -> list[tuple[int, str, list[int]]]:
+    """Depth, letter and the landmarks that end there of each common beginning, parents before their children."""
+    out: list[tuple[int, str, list[int]]] = []
+    path = ""
+    for k in sorted(range(len(landmarks)), key=landmarks.__getitem__):
+        mark = landmarks[k]
+        shared = next((i for i, (x, y) in enumerate(zip(path, mark, strict=False)) if x != y), min(len(path), len(mark)))
+        out += [(d + 1, mark[d], []) for d in range(shared, len(mark))]
+        out[-1][2].append(k)  # also of a landmark that is there twice
+        path = mark
+    return out
+
+
+def kernels(strings: Sequence[str], landmarks: Sequence[str], scale: np.ndarray) -> np.ndarray:
+    """Kernels, strings by landmarks, scaled to 1 for equal strings.
+
+    The recursion of ``_paired`` over all landmarks at once, along the tree of their common beginnings.
+    """
+    out = np.zeros((len(strings), len(landmarks)))
+    tree = _trie(landmarks)
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    order = np.argsort(size, kind="stable")
+    letters_of = sorted({c for _, c, _ in tree})
+    depth = max((d for d, _, _ in tree), default=0)
+    for a in range(0, len(order) if tree else 0, BATCH):
+        pick = order[a : a + BATCH]
+        codes = _codes([strings[i] for i in pick], -1)
+        n, long = codes.shape
+        if long < ORDER:
+            continue
+        places = np.ascontiguousarray(codes.T)
+        rise = (DECAY ** np.arange(1, long + 1)).astype(np.float32)
+        before = np.tri(long, long, -1, dtype=np.float32)  # sums over the places before each
+        match = {c: (places == ord(c)).astype(np.float32) for c in letters_of}
+        first = {c: before @ (m * (np.float32(DECAY * DECAY) / rise)[:, None]) for c, m in match.items()}
+        # by depth and order: sums of the recursion's cells over all places before and all letters of the path
+        sums = np.zeros((depth + 1, ORDER - 1, long, n), np.float32)
+        total = np.zeros((depth + 1, n), np.float32)
+        cells, added = np.empty((2, ORDER - 1, long, n), np.float32)
+        for d, c, ends in tree:
+            old, new, orders = sums[d - 1], sums[d], min(d, ORDER)
+            np.multiply(first[c], np.float32(DECAY**-d), out=added[0])
+            np.add(old[0], added[0], out=new[0])
+            for r in range(1, orders):  # an order's cells are 0 in its first places
+                np.multiply(match[c][r:], old[r - 1, r:], out=cells[r - 1, r:])
+            for r in range(1, min(orders, ORDER - 1)):
+                np.matmul(before[r:, r:], cells[r - 1, r:], out=added[r, r:])
+                np.add(old[r, r:], added[r, r:], out=new[r, r:])
+            total[d] = total[d - 1]
+            if orders == ORDER:
+                total[d] += (rise[ORDER - 1 :] * np.float32(DECAY**d)) @ cells[ORDER - 2, ORDER - 1 :]
+            for k in ends:
+                out[pick, k] = total[d]
+    some = np.flatnonzero(out.any(1))
+    if len(some):
+        out[some] /= np.sqrt(own([strings[i] for i in some])[:, None] * scale[None, :])
     return out**POWER
 
 
@@ -173,39 +202,39 @@ class Model:
     slope: float
     offset: float
 
-    def words(self, words: Sequence[str]) -> list[np.ndarray | None]:
-        """Each word's kernels against the landmarks; None if all are 0."""
-        return _of_words(words, self.landmarks, self.scale)
-
-    def margin(self, found: list[np.ndarray]) -> float:
-        """Of a sentence, from the kernels of those of its words that have any."""
-        return self.bias + (float(np.maximum.reduce(found) @ self.weights) if found else 0.0)
+    def words(self, words: Sequence[str]) -> np.ndarray:
+        """What each word adds to its sentence's margin."""
+        return features(words, self.landmarks, self.scale) @ self.weights
 
     def score(self, margin: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.offset))))
 
 
-def _of_words(words: Sequence[str], landmarks: list[str], scale: np.ndarray) -> list[np.ndarray | None]:
+def features(words: Sequence[str], landmarks: list[str], scale: np.ndarray) -> np.ndarray:
+    """Kernels of words, which are sums over their pieces, against the landmarks."""
+    place: dict[str, int] = {}
     flat, owner = [], []
     for i, w in enumerate(words):
-        for part in marked(letters(w)):
-            flat.append(part)
+        for part in pieces(letters(w)):
+            flat.append(place.setdefault(part, len(place)))
             owner.append(i)
-    out: list[np.ndarray | None] = [None] * len(words)
-    values = kernels(flat, landmarks, scale)
-    for k in np.flatnonzero(values.any(1)):
-        i = owner[k]
-        out[i] = values[k] if out[i] is None else np.maximum(out[i], values[k])
+    out = np.zeros((len(words), len(landmarks)))
+    if place and landmarks:
+        values = kernels(list(place), landmarks, scale)
+        some = values.any(1)
+        at, to = np.array(flat), np.array(owner)
+        at, to = at[some[at]], to[some[at]]
+        np.add.at(out, to, values[at])
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 3e-3) -> np.ndarray:
-    """Squared-hinge SVM by Newton steps over the rows inside the margin; costs sum to 1, the last weight is the bias."""
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Squared-hinge SVM by Newton steps over the rows inside the margin; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, active = np.zeros(x.shape[1]), np.ones(len(x), bool)
     for _ in range(30):
         a = x[active] * cost[active, None]
-        w = np.linalg.solve(a.T @ x[active] + ridge * np.eye(x.shape[1]), a.T @ y[active])
+        w = np.linalg.solve(a.T @ x[active] + RIDGE * np.eye(x.shape[1]), a.T @ y[active])
         inside = y * (x @ w) < 1
         if (inside == active).all():
             break
@@ -227,13 +256,15 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _disturbed(word: str, rng: random.Random) -> str:
-    at = rng.randrange(1, len(word)) if len(word) > 1 else 0
-    gap = len(word) > ORDER + 2 and rng.random() < 0.3
-    return word[:at] + ("" if gap else rng.choice("aeiouxyz-.*")) + word[at + gap :]
+    """The word with a letter put in, doubled, or left out."""
+    at, how = rng.randrange(1, max(len(word) - 1, 2)), rng.random()
+    if how < 0.4:
+        return word[:at] + rng.choice("aeiouxyz") + word[at:]
+    return word[:at] + (word[at - 1] if how < 0.7 else "") + word[at + (how >= 0.7) :]
 
 
-def _landmarks(texts: list[list[list[str]]], y: np.ndarray, most: int, frequent: int) -> tuple[list[str], tuple[str, ...]]:
-    """Words and beginnings of words that tell toxic texts apart, each strong on the texts that those before it leave; then the most frequent words."""
+def _telling(texts: list[list[list[str]]], y: np.ndarray, most: int) -> list[str]:
+    """Pieces that tell toxic texts apart, each strong on the texts that those before it leave."""
     toxic_in: dict[str, set[int]] = defaultdict(set)
     clean_in: Counter[str] = Counter()
     seen: set[tuple[str, str]] = set()  # a word after the same word is most likely a copied passage, and counts once
@@ -242,8 +273,7 @@ def _landmarks(texts: list[list[list[str]]], y: np.ndarray, most: int, frequent:
         if label > 0:
             pairs -= seen
             seen |= pairs
-        words = {w for _, x in pairs if ORDER <= len(w := letters(x)) <= SPAN - 2}
-        forms = {f"^{w}$" for w in words} | {f"^{w[:n]}" for w in words for n in range(ORDER, len(w))}
+        forms = {form for _, x in pairs for form in pieces(letters(x))}
         if label > 0:
             for form in forms:
                 toxic_in[form].add(i)
@@ -259,56 +289,78 @@ def _landmarks(texts: list[list[list[str]]], y: np.ndarray, most: int, frequent:
         c, d = toxic - a, n0 - b
         return (a * d - b * c) ** 2 * (toxic + n0) / max((a + b) * (c + d) * toxic * n0, 1)
 
-    open_forms = {f: at for f, at in toxic_in.items() if len(at) >= 3 and strength(len(at), f, n1) > 35}
+    open_forms = {f: at for f, at in toxic_in.items() if len(at) >= 3 and strength(len(at), f, n1) > 28}
     left, chosen = {i for i, v in enumerate(y) if v > 0}, []
+    found: Counter[int] = Counter()
     while open_forms and len(chosen) < most:
         best = max(open_forms, key=lambda f: (strength(len(open_forms[f] & left), f, len(left)), f.endswith("$"), len(f), f))
-        if strength(len(open_forms[best] & left), best, len(left)) <= 28:
+        if strength(len(open_forms[best] & left), best, len(left)) <= 20:
             break
         chosen.append(best)
-        covered = open_forms.pop(best)
-        # a text counts as told once four landmarks are in it: words that come together are all found
-        left -= {i for i in covered if sum(i in toxic_in[f] for f in chosen) >= 4}
-        open_forms = {f: at for f, at in open_forms.items() if not (f.startswith(best.rstrip("$")) or best.startswith(f))}
+        found.update(open_forms.pop(best))
+        # a text counts as told once COVER landmarks are in it: words that come together are all found
+        left -= {i for i, n in found.items() if n >= COVER}
     if not chosen:
         chosen = sorted((f for f in toxic_in if f.endswith("$")), key=lambda f: (-strength(len(toxic_in[f]), f, n1), -len(toxic_in[f]), f))[:4]
-    common = sorted((f for f in clean_in if f.endswith("$") and f not in chosen), key=lambda f: (-clean_in[f], f))[:frequent]
-    return [*chosen, *common], tuple(chosen)
+    return chosen
+
+
+def _look_alikes(clean: Sequence[str], telling: list[str], most: int) -> list[str]:
+    """Clean pieces that are most like telling ones, no two of them nearly the same."""
+    likeness = kernels(clean, telling, own(telling)).max(1) if telling and clean else np.zeros(len(clean))
+    chosen: list[str] = []
+    ranked = [clean[i] for i in np.lexsort((np.arange(len(clean)), -likeness)) if likeness[i] > 0][: 8 * most]
+    near = kernels(ranked, ranked, own(ranked)) if ranked else np.zeros((0, 0))
+    kept: list[int] = []
+    for i, piece in enumerate(ranked):
+        if len(chosen) < most and not (near[i, kept] > 0.5).any():
+            kept.append(i)
+            chosen.append(piece)
+    return chosen
 
 
-def fit(rows: list[tuple[str, int]], most_landmarks: int = 64, frequent: int = 2, rounds: int = 6) -> Model:
+def fit(rows: list[tuple[str, int]], most_telling: int = 120, look_alikes: int = 24, frequent: int = 4, rounds: int = 6) -> Model:
     texts, y = [sentences(t) for t, _ in rows], np.array([v for _, v in rows], float)
     toxic = int(y.sum())
     if not 0 < toxic < len(rows):
         return Model([], np.zeros(0), np.zeros(0), 0.0, 0.0, math.log((toxic + 1) / (len(rows) - toxic + 1)))
-    landmarks, telling = _landmarks(texts, y, most_landmarks, frequent)
+    telling = _telling(texts, y, most_telling)
+    in_clean = Counter(w for text, label in zip(texts, y, strict=True) if label == 0 for w in {letters(x) for s in text for x in s})
+    clean = sorted({p for w in in_clean for p in pieces(w)}.difference(telling))
+    common = [p for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[: 4 * frequent] for p in pieces(w)[:1]][:frequent]
+    landmarks = list(dict.fromkeys([*telling, *_look_alikes(clean, telling, look_alikes), *common]))
     scale = own(landmarks)
     gram = kernels(landmarks, landmarks, scale)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
-    # copies of toxic texts with one or two characters put into their telling words, or taken out
-    rng = random.Random(11)
+    # copies of toxic texts whose telling words have one or two letters put in, doubled or left out,
+    # and few words around one such word alone
+    rng, told = random.Random(11), set(telling)
+    tells = lambda w: not told.isdisjoint(pieces(letters(w)))
     for text, label in list(zip(texts, y, strict=True)):
         if label > 0:
-            copy = [[_disturbed(w, rng) if f"^{letters(w)}$".startswith(telling) else w for w in s] for s in text]
-            if copy != text:
-                texts.append(copy)
-                texts.append([[_disturbed(_disturbed(w, rng), rng) if f"^{letters(w)}$".startswith(telling) else w for w in s] for s in text])
+            places = [(s, k) for s in text for k, w in enumerate(s) if tells(w)]
+            if places:
+                once = [[_disturbed(letters(w), rng) if tells(w) else w for w in s] for s in text]
+                texts += [once, [[_disturbed(v, rng) if tells(w) else w for v, w in zip(t, s, strict=True)] for t, s in zip(once, text, strict=True)]]
+                s, k = rng.choice(places)
+                texts.append([[w for w in s[max(0, k - 3) : k] if not tells(w)] + [_disturbed(letters(s[k]), rng)] + [w for w in s[k + 1 : k + 4] if not tells(w)]])
     y = np.concatenate([y, np.ones(len(texts) - len(y))])
 
     distinct = sorted({w for text in texts for s in text for w in s})
-    of_word = dict(zip(distinct, _of_words(distinct, landmarks, scale), strict=True))
-    raw = np.zeros((sum(map(len, texts)), len(landmarks)))
-    for row, sentence in enumerate(s for text in texts for s in text):
-        found = [v for w in sentence if (v := of_word[w]) is not None]
-        if found:
-            raw[row] = np.maximum.reduce(found)
+    of_word = features(distinct, landmarks, scale)
+    place = {w: k for k, w in enumerate(distinct)}
+    flat = [s for text in texts for s in text]
+    raw = np.zeros((len(flat), len(landmarks)))
+    for row, sentence in enumerate(flat):
+        if sentence:
+            raw[row] = of_word[[place[w] for w in set(sentence)]].sum(0)
     x = raw @ root
     start = np.cumsum([0, *map(len, texts)])
     label = np.repeat(y, np.diff(start))
     # at first the worst sentence is the one nearest to the telling words, then what the machine says
-    margin = (raw[:, : len(telling)] ** 3).sum(1)
+    margin = raw[:, : len(telling)].max(1)
     w = np.zeros(len(landmarks) + 1)
     witnesses = None
     for _ in range(rounds):
@@ -319,7 +371,7 @@ def fit(rows: list[tuple[str, int]], most_landmarks: int = 64, frequent: int = 2
         rest = np.flatnonzero(label == 0)
         take = np.concatenate([witnesses, rest]).astype(int)
         side = np.where(label[take] > 0, 1.0, -1.0)
-        cost = np.where(side > 0, 0.5 / len(witnesses), 0.5 / max(len(rest), 1))
+        cost = np.where(side > 0, TOXIC_COST, 1.0)
         w = _svm(x[take], side, cost)
         margin = x @ w[:-1] + w[-1]
     worst = np.array([margin[a:b].max() for a, b in zip(start, start[1:], strict=False)])
@@ -336,19 +388,25 @@ class Scorer:
     """Margins of whole texts, with a bounded memory of words."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.older = model, {}, {}
+
+    def _learn(self, split: list[list[list[str]]]) -> None:
+        """Brings all words of the texts into ``known``."""
+        words = set().union(*(s for text in split for s in text))
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        missing = words.difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        new = sorted(missing - again)
+        for a in range(0, len(new), 20_000):
+            self.known.update(zip(new[a : a + 20_000], self.model.words(new[a : a + 20_000]).tolist(), strict=True))
 
     def margins(self, texts: Sequence[str | None]) -> list[float]:
-        split = [sentences(t) if t else [[]] for t in texts]
-        known = self.known
-        new = list({w for text in split for s in text for w in s}.difference(known))
-        if len(known) + len(new) > _KEPT:
-            known.clear()
-            new = list({w for text in split for s in text for w in s})
-        for a in range(0, len(new), 50_000):
-            known.update(zip(new[a : a + 50_000], self.model.words(new[a : a + 50_000]), strict=True))
-        get, margin = known.__getitem__, self.model.margin
-        return [max(margin([v for v in map(get, s) if v is not None]) for s in text) for text in split]
+        split = [sentences(t or "") for t in texts]
+        self._learn(split)
+        get, bias = self.known.__getitem__, self.model.bias
+        return [bias + max([sum(map(get, set(s))) for s in text]) for text in split]
 
     def scores(self, texts: Sequence[str | None]) -> list[float]:
         return [self.model.score(m) for m in self.margins(texts)]
@@ -356,21 +414,22 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score; the model is some kilobytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    bounded_batches(docs.sparkSession)
+    shipped(docs.sparkSession)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                scores = scorer.scores(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, out])
+    @F.arrow_udf(T.DoubleType())
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = worker_memory(name, lambda: Scorer(shared.value))
+        for texts in batches:
+            whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+            scores = [s for part in slices(whole, 0, SLICE_BYTES) for s in scorer.scores(part.column(0).to_pylist())]
+            yield pa.array(scores, pa.float64())
 
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.withColumn(free_name(docs.columns, out), toxic(F.col("text")))
 
 
 def judged(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
-    scored = score(docs.select("doc_id", "text", (fold(F.col("doc_id"), 5) == 0).alias("held_out")), model)
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -353,6 +353,31 @@ def test_toxicity_finds_insults_with_letters_put_in():
     assert sum(x >= 0.5 for x in scorer.scores([words(rng, 60) for _ in range(200)])) <= 2
 
 
+def test_toxicity_of_lone_insults_and_look_alikes():
+    insults = ["grobbly", "snarkfool", "dunderhat", "vexo", "plimket", "quarl", "brundish", "skeevo", "tormig", "wazzok"]
+    rng = random.Random(9)
+    rows = []
+    for _ in range(800):
+        parts, toxic = words(rng, rng.randrange(5, 40)).split(), rng.random() < 0.2
+        for _ in range(2 * toxic):
+            parts.insert(rng.randrange(len(parts)), rng.choice(insults))
+        rows.append((" ".join(parts), int(toxic)))
+    scorer = toxicity.Scorer(toxicity.fit(rows))
+    changes = {
+        "plain": lambda w, a: w,
+        "put in": lambda w, a: w[:a] + rng.choice("aeiouxyz") + w[a:],
+        "doubled": lambda w, a: w[:a] + w[a - 1] + w[a:],
+        "missing": lambda w, a: w[:a] + w[a + 1 :],
+    }
+    for name, change in changes.items():
+        caught = sum(min(scorer.scores([f"you {change(w, rng.randrange(1, len(w) - 1))} ." for _ in range(6)])) >= 0.5 for w in insults)
+        assert caught >= 9, (name, caught)
+    looks = ["snare", "goblet", "thunder", "vex", "plinth", "quartz", "brandish", "skewer", "torment", "wazir", "number", "market"]
+    assert max(scorer.scores([f"you {w} ." for w in looks])) < 0.5
+    again = "".join(f" {w}" for w in ["beta1", "theta2"] * 4000)  # a long line of repeated clean words adds nothing up
+    assert scorer.scores([again])[0] < 0.5
+
+
 def test_subsequence_kernel_against_enumeration():
     from itertools import combinations
 
@@ -367,6 +392,10 @@ def test_subsequence_kernel_against_enumeration():
         return sum(a[k] * b[k] for k in a)
 
     for s, t in (("moron", "moron"), ("mxoroxn", "moron"), ("banana", "bandana"), ("abcd", "dcba")):
+        whole = toxicity.kernels([s, t], [t, s, t[:5]], toxicity.own([t, s, t[:5]]))
+        assert math.isclose(whole[0, 1], 1, rel_tol=1e-5) or not whole[0, 1]
+        assert math.isclose(whole[0, 0], whole[1, 1], rel_tol=1e-4, abs_tol=1e-9)
+        assert math.isclose(whole[0, 0] ** (1 / toxicity.POWER), toxicity._paired(toxicity._codes([s], -1), toxicity._codes([t], -2))[0] / max(math.sqrt(toxicity.own([s])[0] * toxicity.own([t])[0]), 1e-300), rel_tol=1e-4, abs_tol=1e-4)
         got = toxicity._paired(toxicity._codes([s], -1), toxicity._codes([t], -2))[0]
         assert math.isclose(got, plain(s, t), abs_tol=1e-12)
 
