@@ -22,8 +22,9 @@ the sample, copies included. A sentence ends at ``.``, ``!``, ``?`` with white s
 after it, at a line feed, and after ``STRETCH`` words, so that what chance likeness
 can add up to is bounded.
 
-Each distinct word is held against all landmarks once per worker, in one recursion
-along the tree of the landmarks' common beginnings; no pair is left out.
+Each distinct word is held against all landmarks once per worker, in recursions
+along the trees of the landmarks' common beginnings; only pairs whose kernel is
+exactly 0 are left out.
 
 Before the kernel, letters are case-folded, stand-ins such as ``0`` and ``@``
 become letters, other characters inside a word are taken out, and single
@@ -48,6 +49,7 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +65,10 @@ _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]? ){3,}\w[^\w\s]?(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGES = ".,;:!?\"'()[]{}#*$%&|<>-_=+~/\\"
 COVER = 4
-BATCH = 1024  # strings whose sums stay in a processor's cache
+NEAR = 0.1
+BATCH = 1536  # strings whose sums stay in a processor's cache
 SLICE_BYTES = 4 << 20  # of text at a time
-REMEMBERED = 250_000  # words that a worker remembers in each of two generations, about 200 bytes each
+REMEMBERED = 400_000  # words that a worker remembers in each of two generations, about 200 bytes each
 
 
 def letters(word: str) -> str:
@@ -102,16 +105,16 @@ def _codes(words: Sequence[str], pad: int) -> np.ndarray:
     return out
 
 
-def _paired(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+def _paired(s: np.ndarray, t: np.ndarray, kind: type = np.float64) -> np.ndarray:
     """The unscaled kernel of each row of s with the same row of t (codes, padded apart).
 
     With every cell (i, j) of the usual recursion divided by DECAY ** (i + j), the
     sums over earlier ends lose their factors and become sums over a rectangle.
     """
     ls, lt = s.shape[1], t.shape[1]
-    match = (np.ascontiguousarray(s.T)[:, None, :] == np.ascontiguousarray(t.T)[None, :, :]).astype(np.float64)
-    decay = (DECAY ** (np.arange(ls)[:, None] + np.arange(lt)[None, :] + 2))[:, :, None]
-    here = match * (DECAY * DECAY / decay)
+    match = (np.ascontiguousarray(s.T)[:, None, :] == np.ascontiguousarray(t.T)[None, :, :]).astype(kind)
+    decay = (DECAY ** (np.arange(ls)[:, None] + np.arange(lt)[None, :] + 2)).astype(kind)[:, :, None]
+    here = match * (kind(DECAY * DECAY) / decay)
     for _ in range(ORDER - 1):
         for i in range(1, ls):
             here[i] += here[i - 1]
@@ -128,9 +131,9 @@ def own(strings: Sequence[str]) -> np.ndarray:
     out = np.zeros(len(strings))
     size = np.fromiter(map(len, strings), np.int64, len(strings))
     order = np.argsort(size, kind="stable")
-    for a in range(0, len(order), 4096):
-        codes = _codes([strings[i] for i in order[a : a + 4096]], -1)
-        out[order[a : a + 4096]] = _paired(codes, np.where(codes < 0, -2, codes))
+    for a in range(0, len(order), BATCH):
+        codes = _codes([strings[i] for i in order[a : a + BATCH]], -1)
+        out[order[a : a + BATCH]] = _paired(codes, np.where(codes < 0, -2, codes), np.float32)
     return out
 
 
@@ -150,47 +153,66 @@ def _trie(landmarks: Sequence[str]) -> list[tuple[int, str, list[int]]]:
 def kernels(strings: Sequence[str], landmarks: Sequence[str], scale: np.ndarray) -> np.ndarray:
     """Kernels, strings by landmarks, scaled to 1 for equal strings.
 
-    The recursion of ``_paired`` over all landmarks at once, along the tree of their common beginnings.
+    Landmarks with the same beginning go together. Strings that share fewer than
+    ORDER letters with each of such a group have kernels of exactly 0 there.
     """
-    out = np.zeros((len(strings), len(landmarks)))
-    tree = _trie(landmarks)
+    out = np.zeros((len(strings), len(landmarks)), np.float32)
+    if not len(strings) or not len(landmarks):
+        return out
     size = np.fromiter(map(len, strings), np.int64, len(strings))
-    order = np.argsort(size, kind="stable")
-    letters_of = sorted({c for _, c, _ in tree})
-    depth = max((d for d, _, _ in tree), default=0)
-    for a in range(0, len(order) if tree else 0, BATCH):
-        pick = order[a : a + BATCH]
-        codes = _codes([strings[i] for i in pick], -1)
-        n, long = codes.shape
-        if long < ORDER:
-            continue
-        places = np.ascontiguousarray(codes.T)
-        rise = (DECAY ** np.arange(1, long + 1)).astype(np.float32)
-        before = np.tri(long, long, -1, dtype=np.float32)  # sums over the places before each
-        match = {c: (places == ord(c)).astype(np.float32) for c in letters_of}
-        first = {c: before @ (m * (np.float32(DECAY * DECAY) / rise)[:, None]) for c, m in match.items()}
-        # by depth and order: sums of the recursion's cells over all places before and all letters of the path
-        sums = np.zeros((depth + 1, ORDER - 1, long, n), np.float32)
-        total = np.zeros((depth + 1, n), np.float32)
-        cells, added = np.empty((2, ORDER - 1, long, n), np.float32)
-        for d, c, ends in tree:
-            old, new, orders = sums[d - 1], sums[d], min(d, ORDER)
-            np.multiply(first[c], np.float32(DECAY**-d), out=added[0])
-            np.add(old[0], added[0], out=new[0])
-            for r in range(1, orders):  # an order's cells are 0 in its first places
-                np.multiply(match[c][r:], old[r - 1, r:], out=cells[r - 1, r:])
-            for r in range(1, min(orders, ORDER - 1)):
-                np.matmul(before[r:, r:], cells[r - 1, r:], out=added[r, r:])
-                np.add(old[r, r:], added[r, r:], out=new[r, r:])
-            total[d] = total[d - 1]
-            if orders == ORDER:
-                total[d] += (rise[ORDER - 1 :] * np.float32(DECAY**d)) @ cells[ORDER - 2, ORDER - 1 :]
-            for k in ends:
-                out[pick, k] = total[d]
+    codes = _codes(strings, -1)
+    ours = {c: (codes == ord(c)).sum(1, dtype=np.int8) for c in set("".join(landmarks))}
+    groups = defaultdict(list)
+    for k, mark in enumerate(landmarks):
+        groups[mark[:5]].append(k)
+    for members in groups.values():
+        near = np.zeros(len(strings), bool)
+        for k in members:
+            shared = np.zeros(len(strings), np.int8)
+            for c, n in Counter(landmarks[k]).items():
+                shared += np.minimum(ours[c], np.int8(n))
+            near |= shared >= ORDER
+        pick = np.flatnonzero(near)
+        pick = pick[np.argsort(size[pick], kind="stable")]
+        tree = _trie([landmarks[k] for k in members])
+        for a in range(0, len(pick), BATCH):
+            part = pick[a : a + BATCH]
+            out[np.ix_(part, members)] = _along(codes[part, : int(size[part].max())], tree, len(members))
     some = np.flatnonzero(out.any(1))
     if len(some):
-        out[some] /= np.sqrt(own([strings[i] for i in some])[:, None] * scale[None, :])
-    return out**POWER
+        out[some] /= np.sqrt(own([strings[i] for i in some])[:, None]) * np.sqrt(scale)[None, :]
+    return reduce(np.multiply, [out] * POWER)
+
+
+def _along(codes: np.ndarray, tree: list[tuple[int, str, list[int]]], landmarks: int) -> np.ndarray:
+    """The unscaled kernels of strings against the landmarks of a tree: the recursion of ``_paired`` over all of them at once."""
+    n, long = codes.shape
+    places = np.ascontiguousarray(codes.T)
+    rise = (DECAY ** np.arange(1, long + 1)).astype(np.float32)
+    before = np.tri(long, long, -1, dtype=np.float32)  # sums over the places before each
+    match = {c: (places == ord(c)).astype(np.float32) for c in {c for _, c, _ in tree}}
+    first = {c: before @ (m * (np.float32(DECAY * DECAY) / rise)[:, None]) for c, m in match.items()}
+    depth = max(d for d, _, _ in tree)
+    out = np.zeros((n, landmarks), np.float32)
+    # by depth and order: sums of the recursion's cells over all places before and all letters of the path
+    sums = np.zeros((depth + 1, ORDER - 1, long, n), np.float32)
+    total = np.zeros((depth + 1, n), np.float32)
+    cells, added = np.empty((2, ORDER - 1, long, n), np.float32)
+    for d, c, ends in tree:
+        old, new, orders = sums[d - 1], sums[d], min(d, ORDER)
+        np.multiply(first[c], np.float32(DECAY**-d), out=added[0])
+        np.add(old[0], added[0], out=new[0])
+        for r in range(1, orders):  # an order's cells are 0 in its first places
+            np.multiply(match[c][r:], old[r - 1, r:], out=cells[r - 1, r:])
+        for r in range(1, min(orders, ORDER - 1)):
+            np.matmul(before[r:, r:], cells[r - 1, r:], out=added[r, r:])
+            np.add(old[r, r:], added[r, r:], out=new[r, r:])
+        total[d] = total[d - 1]
+        if orders == ORDER:
+            total[d] += (rise[ORDER - 1 :] * np.float32(DECAY**d)) @ cells[ORDER - 2, ORDER - 1 :]
+        for k in ends:
+            out[:, k] = total[d]
+    return out
 
 
 @dataclass
@@ -204,27 +226,30 @@ class Model:
 
     def words(self, words: Sequence[str]) -> np.ndarray:
         """What each word adds to its sentence's margin."""
-        return features(words, self.landmarks, self.scale) @ self.weights
+        strings, at, to = _pieces_of(words)
+        values = kernels(strings, self.landmarks, self.scale) @ self.weights
+        return np.bincount(to, values[at], len(words))
 
     def score(self, margin: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.offset))))
 
 
-def features(words: Sequence[str], landmarks: list[str], scale: np.ndarray) -> np.ndarray:
-    """Kernels of words, which are sums over their pieces, against the landmarks."""
+def _pieces_of(words: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces of words, and of every piece of a word the places of both."""
     place: dict[str, int] = {}
     flat, owner = [], []
     for i, w in enumerate(words):
         for part in pieces(letters(w)):
             flat.append(place.setdefault(part, len(place)))
             owner.append(i)
-    out = np.zeros((len(words), len(landmarks)))
-    if place and landmarks:
-        values = kernels(list(place), landmarks, scale)
-        some = values.any(1)
-        at, to = np.array(flat), np.array(owner)
-        at, to = at[some[at]], to[some[at]]
-        np.add.at(out, to, values[at])
+    return list(place), np.array(flat, np.int64), np.array(owner, np.int64)
+
+
+def features(words: Sequence[str], landmarks: list[str], scale: np.ndarray) -> np.ndarray:
+    """Kernels of words, which are sums over their pieces, against the landmarks."""
+    strings, at, to = _pieces_of(words)
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    np.add.at(out, to, kernels(strings, landmarks, scale)[at])
     return out
 
 
@@ -307,19 +332,20 @@ def _telling(texts: list[list[list[str]]], y: np.ndarray, most: int) -> list[str
 
 def _look_alikes(clean: Sequence[str], telling: list[str], most: int) -> list[str]:
     """Clean pieces that are most like telling ones, no two of them nearly the same."""
-    likeness = kernels(clean, telling, own(telling)).max(1) if telling and clean else np.zeros(len(clean))
+    scale = own(telling)
+    likeness = np.concatenate([np.zeros(0), *(kernels(clean[a : a + 20_000], telling, scale).max(1) for a in range(0, len(clean), 20_000))])
     chosen: list[str] = []
     ranked = [clean[i] for i in np.lexsort((np.arange(len(clean)), -likeness)) if likeness[i] > 0][: 8 * most]
     near = kernels(ranked, ranked, own(ranked)) if ranked else np.zeros((0, 0))
     kept: list[int] = []
     for i, piece in enumerate(ranked):
-        if len(chosen) < most and not (near[i, kept] > 0.5).any():
+        if len(chosen) < most and not (near[i, kept] > NEAR).any():
             kept.append(i)
             chosen.append(piece)
     return chosen
 
 
-def fit(rows: list[tuple[str, int]], most_telling: int = 120, look_alikes: int = 24, frequent: int = 4, rounds: int = 6) -> Model:
+def fit(rows: list[tuple[str, int]], most_telling: int = 120, look_alikes: int = 12, frequent: int = 2, rounds: int = 6) -> Model:
     texts, y = [sentences(t) for t, _ in rows], np.array([v for _, v in rows], float)
     toxic = int(y.sum())
     if not 0 < toxic < len(rows):
@@ -349,14 +375,14 @@ def fit(rows: list[tuple[str, int]], most_telling: int = 120, look_alikes: int =
     y = np.concatenate([y, np.ones(len(texts) - len(y))])
 
     distinct = sorted({w for text in texts for s in text for w in s})
-    of_word = features(distinct, landmarks, scale)
+    of_word = np.concatenate([features(distinct[a : a + 20_000], landmarks, scale) for a in range(0, len(distinct), 20_000)])
     place = {w: k for k, w in enumerate(distinct)}
     flat = [s for text in texts for s in text]
-    raw = np.zeros((len(flat), len(landmarks)))
+    raw = np.zeros((len(flat), len(landmarks)), np.float32)
     for row, sentence in enumerate(flat):
         if sentence:
             raw[row] = of_word[[place[w] for w in set(sentence)]].sum(0)
-    x = raw @ root
+    x = raw @ root.astype(np.float32)
     start = np.cumsum([0, *map(len, texts)])
     label = np.repeat(y, np.diff(start))
     # at first the worst sentence is the one nearest to the telling words, then what the machine says
