@@ -202,12 +202,12 @@ class PrefixBpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-def _models(df: DataFrame, path: str) -> Callable[[], PrefixBpe]:
-    """The model on a worker; the driver reads the file and sends its text, so executors need no path of it."""
+def _models(df: DataFrame, path: str) -> tuple[str, Callable[[], PrefixBpe]]:
+    """Its name and how a worker gets it; the driver reads the file and sends its text, so executors need no path of it."""
     text = read_text(path)
     digest, sent = hashlib.sha256(text.encode()).hexdigest(), df.sparkSession.sparkContext.broadcast(text)
 
-    return lambda: worker_memory(digest, lambda: PrefixBpe(sent.value))
+    return digest, lambda: worker_memory(digest, lambda: PrefixBpe(sent.value))
 
 
 def _append(batch: pa.RecordBatch, array: pa.Array, field: T.StructField) -> pa.RecordBatch:
@@ -233,7 +233,7 @@ def _encoded(df: DataFrame, path: str, text: str, ids: str, decoded: str | None)
     fields = [T.StructField(free_name(df.columns, ids), T.ArrayType(T.IntegerType(), False))]
     if decoded:
         fields.append(T.StructField(free_name([*df.columns, fields[0].name], decoded), T.StringType()))
-    at, model = df.columns.index(text), _models(df, path)
+    at, (name, model) = df.columns.index(text), _models(df, path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model()
@@ -243,13 +243,13 @@ def _encoded(df: DataFrame, path: str, text: str, ids: str, decoded: str | None)
                 now = _append(part, _id_lists(packed), fields[0])
                 yield _append(now, pa.array([bpe.decode(array("i", row)) for row in packed], pa.string()), fields[1]) if decoded else now
 
-    return in_arrow(df, rows, T.StructType([*df.schema.fields, *fields]))
+    return in_arrow(df, rows, T.StructType([*df.schema.fields, *fields]), name)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text that ``ids`` decode to; null ids are no ids."""
     field = T.StructField(free_name(df.columns, out), T.StringType())
-    at, model = df.columns.index(ids), _models(df, path)
+    at, (name, model) = df.columns.index(ids), _models(df, path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model()
@@ -259,14 +259,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) for x in column.slice(a, 100)]
                 yield _append(whole.slice(a, 100), pa.array(texts, pa.string()), field)
 
-    return in_arrow(df, rows, T.StructType([*df.schema.fields, field]))
+    return in_arrow(df, rows, T.StructType([*df.schema.fields, field]), name)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of ``docs``; ids stay in the worker."""
     docs = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    model = _models(docs, path)
+    name, model = _models(docs, path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model()
@@ -280,4 +280,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     decoded.append(hashlib.sha256(bpe.decode(found).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
-    return in_arrow(docs, rows, schema)
+    return in_arrow(docs, rows, schema, name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -66,17 +67,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
-    """``mapInArrow`` in batches of bounded bytes, after which the worker gives memory back."""
+def in_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes; the worker first forgets what other operators left, ``keeps`` aside."""
     bounded_batches(df.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         yield from rows(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(tidy, schema)
 
 
+def forget(keeps: str | None = None) -> None:
+    """Drops what ``worker_memory`` holds, one name aside; workers outlive tasks and serve every operator in turn."""
+    others = [name for name in _MEMORY if name != keeps]
+    for name in others:
+        del _MEMORY[name]
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns free memory of this worker to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Batches between JVM and Python of ``BATCH_BYTES``, unless the session says otherwise; rows alone don't bound them."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -161,7 +180,7 @@ _MEMORY: dict[str, Any] = {}
 def worker_memory(name: str, make: Callable[[], Any]) -> Any:
     """What a worker keeps between tasks under a name; only the latest name's is kept."""
     if name not in _MEMORY:
-        _MEMORY.clear()
+        forget()
         _MEMORY[name] = make()
     return _MEMORY[name]
 

@@ -48,12 +48,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import dropped, in_arrow, slices, stored
+from tallyweir.llm.common import bounded_batches, dropped, forget, in_arrow, slices, stored
 from tallyweir.llm.shingles import WordHashes, mixed, shingle_set
 
 ROWS, BITS = 5, 512
 SLICE_BYTES = 1 << 20  # of text or sets at a time
-BLOCK_NODES, BLOCK_BYTES = 1000, 16 << 20
+BLOCK_NODES, BLOCK_BYTES = 1000, 4 << 20
 
 
 def bands(threshold: float) -> int:
@@ -292,10 +292,11 @@ def _between(rest: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: floa
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "keys", "sketch", "set")
 
     def search(table: pa.Table) -> pa.Table:
+        forget()
         node, own = table.column("node").to_pylist(), np.array(table.column("own"))
         bits = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
         keys = np.array(table.column("keys").to_pylist(), np.int64)
-        full = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        full = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("set")]
         size = np.array([len(s) for s in full])
         places = {r: k for k, r in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
         group = np.array([places[r] for r in table.column("root").to_pylist()])
@@ -320,6 +321,7 @@ def _between(rest: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: floa
                 waiting = waiting[group[waiting] != group[x]]
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
+    bounded_batches(rest.sparkSession)
     return dealt.groupBy("key", "i", "j").applyInArrow(search, "a binary, b binary")
 
 
