@@ -254,13 +254,20 @@ def features(words: Sequence[str], landmarks: list[str], scale: np.ndarray) -> n
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Squared-hinge SVM by Newton steps over the rows inside the margin; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, active = np.zeros(x.shape[1]), np.ones(len(x), bool)
+    """Squared-hinge SVM by Newton steps over the rows inside the margin; rows without cost are left out, the last weight is the bias."""
+    width = x.shape[1] + 1
+    w, active = np.zeros(width), cost > 0
     for _ in range(30):
-        a = x[active] * cost[active, None]
-        w = np.linalg.solve(a.T @ x[active] + RIDGE * np.eye(x.shape[1]), a.T @ y[active])
-        inside = y * (x @ w) < 1
+        left, right = RIDGE * np.eye(width), np.zeros(width)
+        rows = np.flatnonzero(active)
+        for a in range(0, len(rows), 8192):
+            at = rows[a : a + 8192]
+            part = np.hstack([x[at], np.ones((len(at), 1))])
+            weighted = part * cost[at, None]
+            left += weighted.T @ part
+            right += weighted.T @ y[at]
+        w = np.linalg.solve(left, right)
+        inside = (cost > 0) & (y * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1)
         if (inside == active).all():
             break
         active = inside
@@ -346,7 +353,9 @@ def _look_alikes(clean: Sequence[str], telling: list[str], most: int) -> list[st
 
 
 def fit(rows: list[tuple[str, int]], most_telling: int = 120, look_alikes: int = 12, frequent: int = 2, rounds: int = 6) -> Model:
-    texts, y = [sentences(t) for t, _ in rows], np.array([v for _, v in rows], float)
+    same: dict[str, str] = {}  # each word is held once
+    texts = [[[same.setdefault(w, w) for w in s] for s in sentences(t)] for t, _ in rows]
+    y = np.array([v for _, v in rows], float)
     toxic = int(y.sum())
     if not 0 < toxic < len(rows):
         return Model([], np.zeros(0), np.zeros(0), 0.0, 0.0, math.log((toxic + 1) / (len(rows) - toxic + 1)))
@@ -377,16 +386,18 @@ def fit(rows: list[tuple[str, int]], most_telling: int = 120, look_alikes: int =
     distinct = sorted({w for text in texts for s in text for w in s})
     of_word = np.concatenate([features(distinct[a : a + 20_000], landmarks, scale) for a in range(0, len(distinct), 20_000)])
     place = {w: k for k, w in enumerate(distinct)}
-    flat = [s for text in texts for s in text]
-    raw = np.zeros((len(flat), len(landmarks)), np.float32)
-    for row, sentence in enumerate(flat):
-        if sentence:
-            raw[row] = of_word[[place[w] for w in set(sentence)]].sum(0)
-    x = raw @ root.astype(np.float32)
     start = np.cumsum([0, *map(len, texts)])
-    label = np.repeat(y, np.diff(start))
+    x = np.zeros((start[-1], len(landmarks)), np.float32)
+    for row, sentence in enumerate(s for text in texts for s in text):
+        if sentence:
+            x[row] = of_word[[place[w] for w in set(sentence)]].sum(0)
+    del of_word, place, distinct
     # at first the worst sentence is the one nearest to the telling words, then what the machine says
-    margin = raw[:, : len(telling)].max(1)
+    margin = x[:, : len(telling)].max(1)
+    for a in range(0, len(x), 8192):
+        x[a : a + 8192] = x[a : a + 8192] @ root.astype(np.float32)
+    label = np.repeat(y, np.diff(start))
+    side = np.where(label > 0, 1.0, -1.0)
     w = np.zeros(len(landmarks) + 1)
     witnesses = None
     for _ in range(rounds):
@@ -394,11 +405,9 @@ def fit(rows: list[tuple[str, int]], most_telling: int = 120, look_alikes: int =
         if now == witnesses:
             break
         witnesses = now
-        rest = np.flatnonzero(label == 0)
-        take = np.concatenate([witnesses, rest]).astype(int)
-        side = np.where(label[take] > 0, 1.0, -1.0)
-        cost = np.where(side > 0, TOXIC_COST, 1.0)
-        w = _svm(x[take], side, cost)
+        cost = (label == 0).astype(float)
+        cost[witnesses] = TOXIC_COST
+        w = _svm(x, side, cost)
         margin = x @ w[:-1] + w[-1]
     worst = np.array([margin[a:b].max() for a, b in zip(start, start[1:], strict=False)])
     slope, offset = _logistic(worst, y)
