@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from tallyweir.operators import zset
 from tallyweir.operators.evaluate import compare
 from tallyweir.operators.zset import W
 from tallyweir.plans import binder, ir
-from tallyweir.plans.engine import Bag, Engine, State, key_of
+from tallyweir.plans.engine import Bag, Engine, State, Written, key_of
 from tallyweir.plans.parser import MAX_TEXT, Predicate, SQLError, Statement, parse
 from tallyweir.sources.store import Store, StoreError
 
@@ -33,6 +33,7 @@ class Result:
     frame: DataFrame | None
     affected: int
     plan: str
+    physical: str = ""  # of an explained SELECT, what Spark would run
 
     @cached_property
     def rows(self) -> list[tuple]:
@@ -78,6 +79,7 @@ class Catalog:
 @dataclass
 class Transaction:
     state: State
+    streams: dict[str, int]
     doomed: bool = False
 
 
@@ -95,6 +97,7 @@ class Database:
         self.engine = Engine(self.store, mode)
         self.catalog = Catalog({}, {}, {}, {})
         self.state = State()
+        self.streams: dict[str, int] = {}  # the last batch of each stream
         self.epoch = self.revision = 0
         self._counts = {"statements": 0, "commits": 0, "rollbacks": 0, "reuses": 0}
         try:
@@ -127,7 +130,7 @@ class Database:
 
     def stats(self) -> dict[str, int]:
         e = self.engine
-        return self._counts | {"epoch": self.epoch, "revision": self.revision, "relations": len(self.catalog.columns()), "nodes": len(self.state.bags), "evaluations": e.evaluations, "propagations": e.propagations, "pruned": e.pruned}
+        return self._counts | {"epoch": self.epoch, "revision": self.revision, "relations": len(self.catalog.columns()), "nodes": len(self.state.bags), "evaluations": e.evaluations, "propagations": e.propagations, "pruned": e.pruned, "merges": e.merges, "changed_rows": e.changed_rows, "fragments": sum(len(b.fragments) for b in self.state.bags.values())}
 
     def checkpoint(self) -> None:
         """Merges every bag's fragments and removes what is no longer named."""
@@ -135,12 +138,12 @@ class Database:
         if self._tx:
             raise RuntimeError("no checkpoint in a transaction")
         self.engine.compact(self.state)
-        self._publish(self.catalog, self.state)
+        self._publish(self.catalog, self.state, self.streams)
         self.store.sweep({p for b in self.state.bags.values() for p in b.fragments})
 
     # --- persistence ------------------------------------------------------------------------
 
-    def _publish(self, catalog: Catalog, state: State) -> None:
+    def _publish(self, catalog: Catalog, state: State, streams: dict[str, int]) -> None:
         if not self.store.durable:
             return
         self.store.publish(
@@ -150,6 +153,8 @@ class Database:
                 "tables": {k: list(v) for k, v in catalog.tables.items()},
                 "views": {k: {"columns": list(v[0]), "graph": ir.to_json(v[1]), "text": _bound_json(v[2])} for k, v in catalog.views.items()},
                 "assertions": catalog.assertions,
+                "streams": streams,
+                "rows": {key_of(n): list(b.rows) for n, b in state.bags.items()},
                 "bags": {key_of(n): list(b.fragments) for n, b in state.bags.items()},
                 "schemas": {key_of(n): b.schema.json() for n, b in state.bags.items()},
             }
@@ -170,7 +175,8 @@ class Database:
             state = State()
             for node in ir.in_order(*nodes.values()):
                 key = key_of(node)
-                state.bags[node] = Bag(tuple(found["bags"][key]), T.StructType.fromJson(json.loads(found["schemas"][key])))
+                state.bags[node] = Bag(tuple(found["bags"][key]), T.StructType.fromJson(json.loads(found["schemas"][key])), rows=tuple(found["rows"][key]))
+            streams = {str(k): int(v) for k, v in found["streams"].items()}
         except (KeyError, TypeError, ValueError, SQLError) as error:
             raise StoreError("the catalog is damaged") from error
         for source in sources.values():
@@ -180,10 +186,25 @@ class Database:
         for target in catalog.assertions.values():
             if not self.engine.empty(state, nodes[target]):
                 raise StoreError("an assertion does not hold")
-        self.catalog, self.state = catalog, state
+        self._verify(nodes, state)
+        self.catalog, self.state, self.streams = catalog, state, streams
         self.epoch, self.revision = found["epoch"], found["revision"]
         self.store.sweep({p for b in state.bags.values() for p in b.fragments})
 
+    def _verify(self, nodes: dict[str, ir.Node], state: State) -> None:
+        """Each maintained bag must have the checksum and rows of its definition over the recovered tables."""
+        fresh = State({n: b for n, b in state.bags.items() if isinstance(n, ir.Source)})
+        evaluations = self.engine.evaluations
+        for node in ir.in_order(*nodes.values()):
+            if node in fresh.bags:
+                continue
+            self.engine.build(fresh, [node])
+            columns = [*zset.names(node.width), W]
+            kept, again = (df.select(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast(T.DecimalType(38, 0))).alias("s")).first() for df in (self.engine.bag(state, node), self.engine.bag(fresh, node)))
+            if kept != again:
+                raise StoreError("a maintained relation does not follow from its definition")
+        self.engine.evaluations = evaluations
+
     # --- sources ----------------------------------------------------------------------------
 
     def register(self, name: str, frame: DataFrame) -> None:
@@ -301,15 +322,16 @@ class Database:
         self._swap(catalog, state, revision=True)
         return done
 
-    def _swap(self, catalog: Catalog, state: State, revision: bool = False) -> None:
+    def _swap(self, catalog: Catalog, state: State, revision: bool = False, streams: dict[str, int] | None = None) -> None:
         epoch, before = self.epoch, self.revision
         self.epoch, self.revision = epoch + 1, before + revision
+        streams = self.streams if streams is None else streams
         try:
-            self._publish(catalog, state)
+            self._publish(catalog, state, streams)
         except BaseException:
             self.epoch, self.revision = epoch, before
             raise
-        self.catalog, self.state = catalog, state
+        self.catalog, self.state, self.streams = catalog, state, streams
 
     def _check(self, catalog: Catalog, state: State, changed: set[ir.Node] | None = None) -> None:
         nodes = catalog.nodes()
@@ -320,13 +342,13 @@ class Database:
     # --- transactions -----------------------------------------------------------------------
 
     def _begin(self) -> None:
-        self._tx = Transaction(State(dict(self.state.bags)))
+        self._tx = Transaction(State(dict(self.state.bags)), dict(self.streams))
 
     def _commit(self) -> None:
         tx = self._tx
         try:
             self._check(self.catalog, tx.state, {n for n, b in tx.state.bags.items() if b is not self.state.bags.get(n)})
-            self._swap(self.catalog, tx.state)
+            self._swap(self.catalog, tx.state, streams=tx.streams)
             self._counts["commits"] += 1
         finally:
             self._tx = None
@@ -372,7 +394,7 @@ class Database:
             if bag.filter(F.col("c0") == F.lit(s.values[0])).limit(1).count():
                 raise SQLError("the key exists")
             row = self.spark.range(1).select(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(s.values, bag.schema.fields, strict=False)), one.alias(W))
-            self.change({s.name: row})
+            self._apply({source: row})
             return Result((), None, 1, f"INSERT {s.name}")
         tests = binder.tests_of(s.where, binder.Scope([(s.name, columns)]))
         sets = {}
@@ -388,27 +410,53 @@ class Database:
         hit = bag
         for t in tests:
             hit = hit.filter(_test(t))
-        gone = zset.negated(hit)
+        # one scan: each row that is hit is counted and gives its own removal and what takes its place
+        seen = Observation()
+        hit = hit.observe(seen, F.count(F.lit(1)).alias("n"))
+        old = F.struct(*zset.names(len(columns)), F.lit(-1).cast("long").alias(W))
+        parts = [old]
         if s.kind == "update":
-            come = hit.select(*(F.lit(sets[i]).cast(hit.schema[f"c{i}"].dataType).alias(f"c{i}") if i in sets else F.col(f"c{i}") for i in range(len(columns))), W)
-            affected = hit.count()
-            # rows that keep their values cancel out
-            self.change({s.name: zset.summed(gone.union(come))})
-        else:
-            affected = hit.count()
-            self.change({s.name: gone})
-        return Result((), None, affected, f"{s.kind.upper()} {s.name}")
+            now_values = [F.lit(sets[i]).cast(bag.schema[f"c{i}"].dataType).alias(f"c{i}") if i in sets else F.col(f"c{i}") for i in range(len(columns))]
+            parts.append(F.struct(*now_values, one.alias(W)))
+            same = F.struct(*now_values) == F.struct(*zset.names(len(columns)))
+            hit = hit.filter(~same)
+        self._apply({source: hit.select(F.inline(F.array(*parts)))})
+        return Result((), None, seen.get["n"], f"{s.kind.upper()} {s.name}")
+
+    def change(self, changes: dict[str, DataFrame], *, stream: tuple[str, int] | None = None) -> None:
+        """Applies signed changes of tables and all that follows from them; commits at once outside a transaction.
+
+        A frame has the columns c0.. of its table and a weight ``w``. Nothing is
+        applied if a key would stand twice, a row to be taken out is not there, or a
+        row has no key. ``stream`` names the stream's batch that this is.
+        """
+        self._enter()
+        now = self._visible()
+        try:
+            for name in changes:
+                if name not in self.catalog.sources:
+                    raise SQLError(f"unknown table {name}")
+            written = {self.catalog.sources[name]: self.engine.checked(now, self.catalog.sources[name], df) for name, df in changes.items()}
+            self._apply(written, stream)
+        except Exception as error:
+            if self._tx:
+                if self._scoped:
+                    self._tx.doomed = True
+                else:
+                    self._rollback()
+            if isinstance(error, (SQLError, StoreError)):
+                raise
+            raise SQLError(str(error).splitlines()[0] if str(error) else type(error).__name__) from error
 
-    def change(self, changes: dict[str, DataFrame]) -> None:
-        """Applies signed changes of tables and all that follows from them; commits at once outside a transaction."""
+    def _apply(self, changes: dict[ir.Node, DataFrame | Written], stream: tuple[str, int] | None = None) -> None:
         now = self._visible()
-        roots = list(self.catalog.nodes().values())
-        after = self.engine.apply(now, {self.catalog.sources[name]: df for name, df in changes.items()}, roots)
+        after = self.engine.apply(now, changes, list(self.catalog.nodes().values()))
+        streams = (self._tx.streams if self._tx else self.streams) | ({stream[0]: stream[1]} if stream else {})
         if self._tx:
-            self._tx.state = after
+            self._tx.state, self._tx.streams = after, streams
             return
         self._check(self.catalog, after, {n for n, b in after.bags.items() if b is not now.bags.get(n)})
-        self._swap(self.catalog, after)
+        self._swap(self.catalog, after, streams=streams)
         self._counts["commits"] += 1
 
     # --- queries ----------------------------------------------------------------------------
@@ -426,11 +474,13 @@ class Database:
         labels, plan = tuple(o.label for o in b.outputs), b.plan()
         if reuse and (view := self._reuse(b)):
             b = replace(b, source=view, tests=(), outputs=tuple(replace(o, place=i) for i, o in enumerate(b.outputs)))
-            plan = " ".join([f"MAINTAINED_REUSE {view}", *(["SORT"] if b.order else []), *(["LIMIT"] if b.limit is not None else [])])
+            plan = " ".join([f"FROM_VIEW {view}", *(["SORT"] if b.order else []), *(["LIMIT"] if b.limit is not None else [])])
             self._counts["reuses"] += not explain
-        if explain:
-            return Result(labels, None, 0, plan)
         frame = self._frame(b)
+        if explain:
+            jvm = self.spark.sparkContext._jvm
+            mode = jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            return Result(labels, None, 0, plan, frame._jdf.queryExecution().explainString(mode))
         return Result(labels, frame.toDF(*labels), 0, plan)
 
     def _frame(self, b: binder.Bound) -> DataFrame:

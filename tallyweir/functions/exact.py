@@ -32,16 +32,16 @@ def integral(kind: T.DataType) -> bool:
 def wide_sum(value: Column, kind: T.DataType, weight: Column | None = None) -> Column:
     """The sum of integers, weighted or not, checked for 64 bits only at its end; null over no rows.
 
-    Without weights the halves of each number are summed as 64-bit integers, which
-    costs little more than a plain sum and holds for fewer than 2^31 rows a task
-    group; with weights the products are summed as decimals.
+    Without weights the thirds of each number (22, 21 and 21 bits) are summed as 64-bit
+    integers, which costs little more than a plain sum and holds for a group of up to 2^41
+    rows in all; with weights the products are summed as decimals.
     """
     if not integral(kind):
         return F.sum(value if weight is None else value * weight)
     if weight is None:
-        long = value.cast("long")
-        high, low = F.sum(F.shiftright(long, 32)), F.sum(long.bitwiseAND(F.lit(0xFFFFFFFF)))
-        return (high.cast(WIDE) * F.lit(1 << 32).cast(T.DecimalType(11, 0)) + low.cast(WIDE)).cast("long")
+        long, mask = value.cast("long"), F.lit((1 << 21) - 1)
+        high, middle, low = F.sum(F.shiftright(long, 42)), F.sum(F.shiftright(long, 21).bitwiseAND(mask)), F.sum(long.bitwiseAND(mask))
+        return (high.cast(WIDE) * F.lit(1 << 42).cast(T.DecimalType(14, 0)) + middle.cast(WIDE) * F.lit(1 << 21).cast(T.DecimalType(14, 0)) + low.cast(WIDE)).cast("long")
     return F.sum(value.cast(T.DecimalType(19, 0)) * weight.cast(T.DecimalType(19, 0))).cast("long")
 
 

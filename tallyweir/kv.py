@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from tallyweir.functions.exact import LEAST, MOST
 from tallyweir.operators.zset import W, of_rows, summed
-from tallyweir.sources.store import Store
+from tallyweir.sources.store import Store, tail
 
 TEXT_BYTES = 31
+MOST_FRAGMENTS = 8
 SCHEMA = T.StructType([T.StructField("key", T.LongType()), T.StructField("value", T.LongType()), T.StructField("text", T.StringType()), T.StructField(W, T.LongType())])
 
 
@@ -43,6 +44,7 @@ class KeyValue:
         self.spark, self.store = spark, Store(spark, path)
         found = self.store.recover()
         self._fragments: tuple[str, ...] = tuple(found["bags"]["kv"]) if found else ()
+        self._rows: tuple[int, ...] = tuple(found["rows"]["kv"]) if found else ()
         self._staged: dict[int, Row | None] = {}
         self._held: dict[int, Row | None] = {}  # what the touched keys are in the committed state
         self._open = False
@@ -118,9 +120,17 @@ class KeyValue:
             self._write(of_rows(self.spark, change, SCHEMA).coalesce(1))
 
     def _write(self, change: DataFrame) -> None:
-        fragments = (*self._fragments, self.store.write(change))
-        self.store.publish({"bags": {"kv": list(fragments)}})
-        self._fragments, self._held = fragments, {}
+        path, n = self.store.write_counted(change)
+        fragments, rows = (*self._fragments, path), (*self._rows, n)
+        if len(fragments) > MOST_FRAGMENTS:  # the newest changes are merged with each other, the base only by a checkpoint
+            at = tail(rows, 1)
+            path, n = self.store.write_counted(summed(self.store.read(fragments[at:], SCHEMA)))
+            fragments, rows = (*fragments[:at], path), (*rows[:at], n)
+        self._publish(fragments, rows)
+
+    def _publish(self, fragments: tuple[str, ...], rows: tuple[int, ...]) -> None:
+        self.store.publish({"bags": {"kv": list(fragments)}, "rows": {"kv": list(rows)}})
+        self._fragments, self._rows, self._held = fragments, rows, {}
 
     @contextmanager
     def transaction(self) -> Iterator[KeyValue]:
@@ -138,10 +148,9 @@ class KeyValue:
         if self._open:
             raise RuntimeError("no checkpoint in a transaction")
         if len(self._fragments) > 1:
-            fragments = (self.store.write(self.frame()),)
-            self.store.publish({"bags": {"kv": list(fragments)}})
-            self._fragments = fragments
-            self.store.sweep(set(fragments))
+            path, n = self.store.write_counted(self.frame())
+            self._publish((path,), (n,))
+            self.store.sweep({path})
 
     def close(self) -> None:
         self.store.close()

@@ -2,8 +2,9 @@
 
 ``old`` and ``new`` are the inputs' bags before and after, ``change`` their signed
 differences, None for an input that doesn't change; ``own`` is the node's own bag
-before. Each rule returns a signed, canonical difference and reads only what
-shares a key with the change.
+before. Each rule returns a signed, canonical difference. Joins, anti-joins and
+groups meet the change by its keys, which Spark broadcasts if they are few; the bags
+they meet are scanned, not sorted or summed.
 """
 
 from __future__ import annotations

@@ -48,14 +48,16 @@ def grouped(df: DataFrame, node: ir.Group) -> DataFrame:
 
 
 def evaluated(node: ir.Node, inputs: list[DataFrame]) -> DataFrame:
-    """The canonical bag of a node whose inputs' bags are canonical."""
+    """The canonical bag of a node whose inputs' bags are canonical; where keys survive, no rows can fall together."""
     match node:
         case ir.Map():
-            return summed(mapped(inputs[0], node.exprs))
+            out = mapped(inputs[0], node.exprs)
+            return out if ir.keyed(node) else summed(out)
         case ir.Filter():
             return filtered(inputs[0], node)
         case ir.Join():
-            return summed(joined(inputs[0], inputs[1], node))
+            out = joined(inputs[0], inputs[1], node)
+            return out.withColumn(W, F.col(W).cast("long")) if ir.keyed(node) else summed(out)
         case ir.Anti():
             return without(inputs[0], inputs[1], node.left_key, node.right_key)
         case ir.Group():

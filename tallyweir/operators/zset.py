@@ -42,5 +42,6 @@ def negated(df: DataFrame) -> DataFrame:
 
 
 def expanded(df: DataFrame) -> DataFrame:
-    """Each row as often as it weighs, without the weight."""
-    return df.withColumn(W, F.explode(F.sequence(F.lit(1).cast("long"), F.col(W)))).drop(W)
+    """Each row as often as it weighs, without the weight; a weight below 1 is an error."""
+    times = F.when(F.col(W) >= 1, F.col(W)).otherwise(F.raise_error(F.lit("a row's weight fell below one")).cast("long"))
+    return df.withColumn(W, F.explode(F.sequence(F.lit(1).cast("long"), times))).drop(W)

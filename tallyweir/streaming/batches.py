@@ -7,22 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from tallyweir.database import Database
-from tallyweir.operators.zset import W, names, summed
+from tallyweir.operators.zset import W, names
 
 
-def applier(database: Database, table: str) -> Callable[[DataFrame, int], None]:
+def applier(database: Database, table: str, stream: str | None = None) -> Callable[[DataFrame, int], None]:
     """A function for ``foreachBatch``: rows of the table's columns, with a weight ``w`` or weighing 1 each.
 
-    A batch that was applied already, as after a restart, is told by its number and skipped.
+    The number of the last batch of ``stream`` (by default, the table's name) is
+    published in one with the batch, so a batch that comes again, after a restart
+    as well if the database has a path, is told by its number and skipped.
     """
-    applied = {"last": -1}
+    name = stream or table
 
     def apply(batch: DataFrame, number: int) -> None:
-        if number <= applied["last"]:
+        if number <= database.streams.get(name, -1):
             return
         width = len(database.catalog.tables[table])
         weighted = batch if W in batch.columns else batch.selectExpr("*", f"CAST(1 AS BIGINT) AS {W}")
-        database.change({table: summed(weighted.toDF(*names(width), W))})
-        applied["last"] = number
+        database.change({table: weighted.toDF(*names(width), W)}, stream=(name, number))
 
     return apply

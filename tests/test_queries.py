@@ -11,7 +11,7 @@ from tallyweir import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SOME = ["scan_projection", "filter_col_col", "join_self", "anti_join", "agg_over_join", "agg_sum_cancel", "topk", "ivm_join_delta", "ivm_group_delta", "mutation_fold", "model_pricing", "mv_on_mv", "mv_alter_recompute", "shared_views", "assertion_repair", "dml_update", "modular_read", "kv_update"]
+SOME = ["scan_projection", "filter_col_col", "anti_join", "agg_over_join", "agg_sum_cancel", "topk", "ivm_join_delta", "ivm_group_delta", "mutation_fold", "model_pricing", "mv_on_mv", "mv_alter_recompute", "shared_views", "assertion_repair", "dml_update", "modular_read", "kv_update", "change_rejects", "stream_replay", "recover_read", "preview_read", "explain_select", "prune_untouched", "kv_transaction", "assertion_violations", "ivm_two_statement_tx"]
 
 
 @pytest.fixture(scope="module")
@@ -43,10 +43,10 @@ def test_the_rest_stands_without_the_training_data_operators():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["join_self_whole", "ivm_self_join_whole"])
+@pytest.mark.parametrize("name", ["join_self", "ivm_self_join_delta"])
 def test_self_joins_of_whole_tables(spark, duck, name):
     """Every order meets every order of its customer, whatever its id."""
-    kept = "true" if name == "join_self_whole" else "o_orderkey % 10 <> 0"
+    kept = "true" if name == "join_self" else "o_orderkey % 10 <> 0"
     of = {}
     for order, customer in duck.execute(f"SELECT o_orderkey, o_custkey FROM orders WHERE {kept}").fetchall():
         of.setdefault(customer, []).append(order)
