@@ -3,16 +3,21 @@
 Base rules find email, ip, card and phone spans; these always count. Generators
 of wider patterns (spelled-out signs, other separators, national numbers) propose
 further spans, which may overlap. Each is described by its format and by the
-words around it, scored by gradient-boosted trees of its kind, and kept above
-that kind's threshold, the least at which spans of the calibration texts were
-nearly all right. Kept spans that overlap a base span, or a better kept span, go.
+``CONTEXT`` characters on both sides, scored by gradient-boosted trees of its kind,
+and kept above that kind's threshold, the least at which spans of the calibration
+texts were nearly all right. Of those, a span that overlaps a base span goes; of
+spans that overlap each other the one of the best score stays, then the best of
+those that don't overlap it, and so on.
 
 Everything on the main path is built-in functions over one pass without a
 shuffle: matches and the gaps between them come from ``regexp_extract_all`` and
-``split`` on one pattern, their lengths give positions in code points, and the
-trees are sums of conditions. Patterns run only on texts that hold their trigger
-character. The trees are fitted on the driver to template texts of a fixed rule,
-described by the very same expressions; no corpus text and no label is used.
+``split`` on one pattern, running sums of their lengths give positions in code
+points, and the trees are sums of conditions. Running sums go block by block
+(``scanned``) and parts of a text are cut from ``pieces`` of it, so a text with
+very many spans costs little more than in proportion. Patterns run only on texts
+that hold their trigger character. The trees are fitted on the driver to template
+texts of a fixed rule, described by the very same expressions; no corpus text and
+no label is used.
 
 Defined cases: null and empty texts have no spans; repeated rows are searched
 each; other columns pass through ``redacted`` and are ignored by ``digests``.
@@ -53,22 +58,57 @@ CUES = {
     "phone": r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|telefono|ring|sms)\b",
 }
 AGAINST = r"(?i)\b(?:order|invoice|version|section|isbn|id|no|serial|ref|page|chapter|part|sku|rfc|build|date|total)\b"
-N_FEATURES = 10
-SPAN = "array<struct<start:int,rank:int,end:int,match:string>>"
+UNITS = r"(?i)^ ?(?:EUR|USD|GBP|[$€£%]|kg|km|cm|mm|pages?|items|pieces|pcs|units|words)(?![A-Za-z])"
+AFTER = r"(?i)^[ ,;)]{0,3}(?:\((?:mobile|home|work|office|visa|mastercard|private)\)|(?:anytime|please|thanks|expires|exp|cvv|for details|to reach)\b)"
+N_FEATURES = 14
+SPAN = "array<struct<start:int,rank:int,end:int,match:string,score:double>>"
+BLOCK, PIECE = 64, 512
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scanned(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array the sum (in the sense of ``add``) of all values before it: of whole blocks, then of a block's own."""
+
+    def total(part: Column, start: Column) -> Column:
+        return F.aggregate(part, start, lambda x, y: add(x, y))
+
+    def of(v: Column) -> Column:
+        count = F.floor((F.size(v) + (BLOCK - 1)) / BLOCK).cast("int")
+        blocks = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1))), F.lit(1), count), lambda b: total(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), zero))
+        before = lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b), zero))
+        block = lambda i: F.floor(i / BLOCK).cast("int")
+        return let(let(blocks, before), lambda t: F.transform(v, lambda _, i: total(F.slice(v, block(i) * BLOCK + 1, i % BLOCK), F.get(t, block(i)))))
+
+    return let(values, of)
+
+
+def pieces(text: Column) -> Column:
+    """A text in pieces of PIECE code points, from which parts are cut without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(of: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from ``start`` on, of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    count = F.floor((start + length) / PIECE).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(of, first + 1, count), ""), start - first * PIECE + 1, length)
 
 
 def matches(text: Column, pattern: str, rank: int) -> Column:
     """Spans of the leftmost non-overlapping matches, positions in code points, end exclusive."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     paired = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    sized = F.transform(paired, lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("n"), x["m"].alias("m")))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["m"].alias("match")))).alias("out"))
+    def spans(v: Column) -> Column:
+        begins = scanned(F.transform(v, lambda x: x["g"] + x["n"]), F.lit(0), lambda x, y: x + y)
+        return let(begins, lambda t: F.transform(v, lambda x, i: F.struct((F.get(t, i) + x["g"]).alias("start"), F.lit(rank).alias("rank"), (F.get(t, i) + x["g"] + x["n"]).alias("end"), x["m"].alias("match"), F.lit(1.0).alias("score"))))
 
-    return F.aggregate(paired, start, step, lambda a: a["out"])
+    return let(sized, spans)
 
 
 def digits(match: Column) -> Column:
@@ -118,10 +158,15 @@ def wide_spans(text: Column) -> Column:
     return F.concat(*(F.when(text.rlike(WIDE_TRIGGER[kind]), matches(text, WIDE[kind], rank)).otherwise(none) for rank, kind in enumerate(KINDS)))
 
 
-def features(text: Column, span: Column, rank: int) -> list[Column]:
+def sides(of: Column, span: Column) -> Column:
+    """The characters on both sides of a span of a text in pieces."""
+    begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
+    return F.struct(cut(of, begin, span["start"] - begin).alias("left"), cut(of, span["end"], F.lit(CONTEXT)).alias("right"))
+
+
+def features(near: Column, span: Column, rank: int) -> list[Column]:
     """The N_FEATURES yes-or-no features of a candidate, by its format and its surroundings."""
-    match, kind = span["match"], KINDS[rank]
-    left = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
+    match, kind, left, right = span["match"], KINDS[rank], near["left"], near["right"]
     n = F.length(digits(match))
     own = {
         "email": [match.rlike(r"(?i)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$"), match.rlike("[(\\[{]"), match.rlike("^[A-Za-z]"), match.rlike(r" (?:@|\.) "), match.rlike(r"\.[A-Za-z]{2,6}$|[)\]}] ?[A-Za-z]{2,6}$")],
@@ -130,7 +175,8 @@ def features(text: Column, span: Column, rank: int) -> list[Column]:
         "phone": [n.between(9, 12), match.rlike(r"^\("), match.rlike(r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$"), match.rlike("/"), match.rlike(r"^(?:19|20)[0-9]{2}[ ./-]|[ ./-](?:19|20)[0-9]{2}$")],
     }[kind]
     around = [left.rlike(CUES[kind]), left.rlike(AGAINST), left.rlike(r"[0-9A-Za-z_#=/]$"), left.rlike(r"[:] ?$"), left.rlike(r"[0-9]")]
-    return [*own, *around]
+    behind = [right.rlike(r"^[0-9A-Za-z_#=/]"), right.rlike(UNITS), right.rlike(AFTER), right.rlike(CUES[kind])]
+    return [*own, *around, *behind]
 
 
 # --- boosted trees on yes-or-no features ---------------------------------------------------
@@ -177,13 +223,19 @@ def _scored(trees: list, x: list[bool]) -> float:
     return 1 / (1 + math.exp(-sum(rate * answer(t, x) for rate, t in trees)))
 
 
-def _as_column(trees: list, x: list[Column]) -> Column:
+def _as_column(trees: list, x: Column) -> Column:
+    """The trees' answer to an array of features."""
+
     def of(tree: Tree | float) -> Column:
-        return F.when(x[tree[0]], of(tree[2])).otherwise(of(tree[1])) if isinstance(tree, tuple) else F.lit(float(tree))
+        return F.when(F.get(x, F.lit(tree[0])), of(tree[2])).otherwise(of(tree[1])) if isinstance(tree, tuple) else F.lit(float(tree))
 
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, (rate * of(t) for rate, t in trees))))
 
 
+def _answering(trees: list) -> Callable[[Column], Column]:
+    return lambda x: _as_column(trees, x)
+
+
 # --- template texts -------------------------------------------------------------------------
 
 
@@ -222,11 +274,14 @@ def templates(seed: int, per_kind: int = 160) -> list[tuple[int, str, int]]:
                 span = sep.join(n[i : i + 4] for i in range(0, 16, 4)) if sep else _luhn_number(rng, 17, False)
             else:
                 a, b, c = d(3), d(3), d(4)
-                shapes = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"]
+                shapes = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{d(3)} {c}{d(2)}", f"0{a}-{b} {c}", f"(0{d(2)}) {d(3)} {c}"]
                 span = rng.choice(shapes) if good else rng.choice([f"{rng.randrange(1900, 2030)}-{d(4)}-{d(3)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(4)} {d(3)}{d(3)}", f"{d(2)}.{d(3)}.{d(3)}"])
                 if good and not cue:
                     good = span.startswith("(")
-            out.append((rank, f"{word()} {word()} {lead}{span} {word()}", int(good)))
+            behind = ""
+            if rng.random() < 0.3:
+                behind = rng.choice([" (mobile)", " (work)", " please", ", thanks", " expires soon"]) if good else rng.choice([" EUR", " pages", " kg", "%", " items", "_x"])
+            out.append((rank, f"{word()} {word()} {lead}{span}{behind} {word()}", int(good)))
     return out
 
 
@@ -243,7 +298,7 @@ def trained(spark: SparkSession, precision: float = 0.99) -> list[tuple[list, fl
         for rank in range(4):
             span = F.element_at(F.filter(wide_spans(F.col("text")), _of_rank(rank)), -1)
             rows = frame.filter(F.col("rank") == rank).withColumn("s", F.when(F.size(F.filter(wide_spans(F.col("text")), _of_rank(rank))) > 0, span)).filter("s IS NOT NULL")
-            got = rows.select("y", F.array(*features(F.col("text"), F.col("s"), rank)).alias("x")).collect()
+            got = rows.withColumn("near", sides(pieces(F.col("text")), F.col("s"))).select("y", F.array(*features(F.col("near"), F.col("s"), rank)).alias("x")).collect()
             described[part, rank] = [(list(r.x), r.y) for r in got]
     models = []
     for rank in range(4):
@@ -262,24 +317,57 @@ def trained(spark: SparkSession, precision: float = 0.99) -> list[tuple[list, fl
 # --- spans, digests, redaction ---------------------------------------------------------------
 
 
+def _best(spans: Column) -> Column:
+    """Of spans in which each overlaps the one before, the best and those that overlap none better, in order."""
+    none = F.expr(f"cast(array() as {SPAN})")
+    ranked = F.array_sort(spans, lambda x, y: F.when(x["score"] != y["score"], F.when(x["score"] > y["score"], -1).otherwise(1)).when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["rank"] - y["rank"]))
+    taken = F.aggregate(ranked, none, lambda kept, s: F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(s))))
+    return F.when(F.size(spans) == 1, spans).otherwise(taken)
+
+
+def apart(base: Column, added: Column) -> Column:
+    """Those of the ``added`` spans (in order) that overlap no base span and no better one, by running extremes over the order."""
+    tagged = lambda spans, is_base: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_base).alias("base"), s.alias("s")))
+    far = F.lit(2_147_483_647)
+
+    def free(both: Column) -> Column:
+        reach = scanned(F.transform(both, lambda x: F.when(x["base"], x["s"]["end"]).otherwise(0)), F.lit(0), F.greatest)
+        ahead = F.reverse(scanned(F.transform(F.reverse(both), lambda x: F.when(x["base"], x["start"]).otherwise(far)), far, F.least))
+        # at equal starts a base span stands after the added one, so each is seen from one side
+        kept = let(F.struct(reach.alias("r"), ahead.alias("a")), lambda t: F.filter(both, lambda x, i: ~x["base"] & (F.get(t["r"], i) <= x["start"]) & (F.get(t["a"], i) >= x["s"]["end"])))
+        return F.transform(kept, lambda x: x["s"])
+
+    def clustered(spans: Column) -> Column:
+        reach = scanned(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest)
+        firsts = let(reach, lambda r: F.filter(F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(r, i), i)), lambda i: i.isNotNull()))
+        return let(firsts, lambda f: F.flatten(F.transform(f, lambda at, k: _best(F.slice(spans, at + 1, F.coalesce(F.get(f, k + 1), F.size(spans)) - at)))))
+
+    order = F.array_sort(F.concat(tagged(added, False), tagged(base, True)))
+    none = F.expr(f"cast(array() as {SPAN})")
+    return let(let(order, free), lambda spans: F.when(F.size(spans) > 1, clustered(spans)).otherwise(F.coalesce(spans, none)))
+
+
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base and spans: arrays of (start, rank, end, match), in order of start and kind."""
+    """Adds base and spans: arrays of (start, rank, end, match, score), in order of start and kind; a base span has the score 1."""
     models = trained(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.expr(f"cast(array() as {SPAN})")
     anything = body.rlike(r"[0-9@]|(?i)[(\[{]at[)\]}]")
     found = docs.withColumn("base", F.when(anything, base_spans(body)).otherwise(none)).withColumn("wide", F.when(anything, wide_spans(body)).otherwise(none))
 
-    def good(s: Column) -> Column:
-        free = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        score = reduce(lambda a, b: a | b, ((s["rank"] == rank) & (_as_column(trees, features(body, s, rank)) >= threshold) for rank, (trees, threshold) in enumerate(models)))
-        return free & score
+    def scored(of: Column) -> Column:
+        def one(s: Column) -> Column:
+            def by_kind(near: Column) -> Column:
+                kinds = [let(F.array(*features(near, s, rank)), _answering(trees)) for rank, (trees, _) in enumerate(models)]
+                return reduce(lambda a, k: a.when(s["rank"] == k, kinds[k]), range(1, 4), F.when(s["rank"] == 0, kinds[0]))
+
+            return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["match"].alias("match"), let(sides(of, s), by_kind).alias("score"))
+
+        least = F.array(*(F.lit(float(t)) for _, t in models))
+        return F.filter(F.transform("wide", one), lambda s: s["score"] >= F.get(least, s["rank"]))
 
-    kept = found.withColumn("kept", F.when(F.size("wide") > 0, F.array_sort(F.filter("wide", good))).otherwise(none))
-    # of kept spans that overlap, the one that starts first stays
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    apart = F.aggregate("kept", start, lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a), lambda a: a["out"])
-    return kept.withColumn("spans", F.array_sort(F.concat("base", apart))).drop("wide", "kept")
+    kept = found.withColumn("kept", F.when(F.size("wide") > 0, F.array_sort(let(pieces(body), scored))).otherwise(none))
+    return kept.withColumn("spans", F.when(F.size("kept") > 0, F.array_sort(F.concat("base", apart(F.col("base"), F.col("kept"))))).otherwise(F.col("base"))).drop("wide", "kept")
 
 
 def joined(spans: Column) -> Column:
@@ -297,14 +385,15 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; n_chars follows the text."""
     names = F.array(*(F.lit(f"[{kind.upper()}]") for kind in KINDS))
     work = with_spans(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
+    def rebuilt(of: Column) -> Column:
         # spans of two kinds may overlap: the later one adds its mark and only what lies behind it is skipped
-        between = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], between, F.get(names, s["rank"])).alias("out"))
+        reach = scanned(F.transform("spans", lambda s: s["end"]), F.lit(0), F.greatest)
+        marked = let(reach, lambda r: F.transform("spans", lambda s, i: F.concat(cut(of, F.get(r, i), F.greatest(s["start"] - F.get(r, i), F.lit(0))), F.get(names, s["rank"]))))
+        end = F.aggregate("spans", F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+        return F.concat(F.array_join(marked, ""), let(end, lambda e: cut(of, e, F.length("text") - e)))
 
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    clean = let(pieces(F.col("text")), rebuilt)
     text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
     columns = [F.col("clean").alias(c) if c == "text" else F.when(F.col("changed"), F.length("clean").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.`{c}`")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return work.select("row", text.alias("clean"), (F.size("spans") > 0).alias("changed")).select(*columns)

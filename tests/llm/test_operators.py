@@ -268,6 +268,74 @@ def test_pii(spark, docs, none):
     assert clean[2].text is None and clean[3].text == "order 20240102 of 3.14 for 12 34" and clean[3].n_chars == 32
 
 
+def pii_features(text, start, end, rank):
+    """The features of a candidate in plain Python."""
+    match, left, right = text[start:end], text[max(0, start - pii.CONTEXT) : start], text[end : end + pii.CONTEXT]
+    number, kind, n = re.sub("[^0-9]", "", match), pii.KINDS[rank], len(re.sub("[^0-9]", "", match))
+    has = lambda pattern, of=match: bool(re.search(pattern, of))
+    own = {
+        "email": lambda: [has(r"(?i)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$"), has(r"[(\[{]"), has("^[A-Za-z]"), has(r" (?:@|\.) "), has(r"\.[A-Za-z]{2,6}$|[)\]}] ?[A-Za-z]{2,6}$")],
+        "ip": lambda: [all(int(p) <= 255 for p in re.split("[^0-9]+", match) if p), has(r"\["), has("dot"), has("^0"), has(" ")],
+        "card": lambda: [sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(number))) % 10 == 0, has("^[3-6]"), n in (13, 15, 16), has(r"^[0-9]{4}([ ._/‐-–-]{1,2})[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), has(r"[./]")],
+        "phone": lambda: [9 <= n <= 12, has(r"^\("), has(r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$"), has("/"), has(r"^(?:19|20)[0-9]{2}[ ./-]|[ ./-](?:19|20)[0-9]{2}$")],
+    }[kind]()
+    around = [has(pii.CUES[kind], left), has(pii.AGAINST, left), has(r"[0-9A-Za-z_#=/]$", left), has(r"[:] ?$", left), has("[0-9]", left)]
+    return [*own, *around, has(r"^[0-9A-Za-z_#=/]", right), has(pii.UNITS, right), has(pii.AFTER, right), has(pii.CUES[kind], right)]
+
+
+def all_spans(text, models):
+    """Base spans and added ones: best first, each if it overlaps none before it."""
+    base = [(a, rank, b) for a, rank, b in base_spans(text)]
+    found = []
+    for rank, kind in enumerate(pii.KINDS):
+        if re.search(pii.WIDE_TRIGGER[kind], text or ""):
+            for m in re.finditer(pii.WIDE[kind], text):
+                score = pii._scored(models[rank][0], pii_features(text, m.start(), m.end(), rank))
+                if score >= models[rank][1] and not any(a < m.end() and m.start() < b for a, _, b in base):
+                    found.append((-score, m.start(), rank, m.end()))
+    kept = []
+    for _, a, rank, b in sorted(found):
+        if not any(x < b and a < y for x, _, y in kept):
+            kept.append((a, rank, b))
+    return base, sorted([*base, *kept])
+
+
+def test_added_pii_spans_against_plain_python(spark):
+    models, rng = pii.trained(spark), random.Random(12)
+    parts = [t for seed in (21, 22) for _, t, _ in pii.templates(seed, 60)]
+    texts = [*parts, *(" ".join(rng.choices(parts, k=rng.randrange(2, 40))) + rng.choice(["", " a@b.co", " 1.2.3.4 é👍"]) for _ in range(60))]
+    texts += ["call (487) 555-7209 or jo@ex.com, " * 300, "é" * 600 + " tel 487-555-7209 (mobile) " * 90, "phone 555 123 4567 8901 (at) x (dot) com 487-555-7209 [at] y.org"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    added = 0
+    for r in pii.digests(frame).collect():
+        base, spans = all_spans(texts[r.doc_id], models)
+        assert r.spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans), texts[r.doc_id][:200]
+        added += len(spans) - len(base)
+    assert added > 200
+
+
+def test_added_pii_spans_of_shapes_outside_the_templates(spark):
+    good = ["please e-mail mara.voss [at] uni-lund [dot] edu soon", "kontakt: p_quist(at)halden(dot)org", "courriel luc.aubin @ mairie . fr merci", "my mobile: 030 5550 1234", "tel. 0171/555 0199 (home)", "fax (02) 5550 1734", "host 10[.]20[.]30[.]44 was down", "login from 172(.)16(.)5(.)9", "visa 4111.1111.1111.1111 exp 04", "credit card 5555_5555_5555_4444"]
+    bad = ["invoice 2023-0042-118 of May", "version 3 . 14 . 15 . 92 build", "we counted 12 34 56 items", "page 120/2019/44", "serial 700[.]800[.]900[.]1000", "the sum of 1999 2004 2011 EUR", "ratio 44.100.200 kg", "ref 1234.5678.9012.3456", "meet @ noon . then go", "isbn 978-3-16-148410-0", "order 4111_1111_1111_1112", "chapter 12.345.678 pages"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate([*good, *bad])], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.digests(frame).collect()}
+    caught, false = sum(bool(spans[k]) for k in range(len(good))), sum(bool(spans[len(good) + k]) for k in range(len(bad)))
+    assert caught >= 8 and false <= 1, (caught, false, spans)
+
+
+def test_a_text_of_very_many_spans(spark):
+    import time
+
+    text = "".join(f"u{k}@mail{k % 9}.example.com 10.{k % 250}.7.{k % 99} " for k in range(26_000))  # a megabyte
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.digests(frame.limit(0)).collect()
+    began = time.monotonic()
+    r = pii.digests(frame).first()
+    assert (r.n_email, r.n_ip) == (26_000, 26_000) and time.monotonic() - began < 20
+    clean = pii.redacted(spark.createDataFrame([(1, text[:100_000].rpartition(" ")[0])], "doc_id long, text string")).first().text
+    assert "@" not in clean and clean.startswith("[EMAIL] [IP] [EMAIL]") and clean.endswith("[IP] [EMAIL]") ^ clean.endswith("[EMAIL] [IP]")
+
+
 def test_quality_rules(spark, docs, none, texts):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 60)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     ratios = quality_rules.log_ratios(docs, labels)
