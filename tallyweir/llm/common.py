@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import shutil
 import tempfile
@@ -19,10 +20,13 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only on a local master without such a setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(spark, "_tallyweir_shared_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="tallyweir-")
@@ -59,6 +63,7 @@ def shipped(spark: SparkSession) -> None:
         if package.is_dir():
             folder = tempfile.mkdtemp(prefix="tallyweir-code-")
             context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context._tallyweir_shipped = True
 
 

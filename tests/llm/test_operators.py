@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on small tables with every odd case."""
 
+import datetime
 import hashlib
 import math
 import random
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tallyweir.llm")
 
@@ -170,6 +172,13 @@ def test_decontamination(spark, docs, none, texts):
     found = decontamination.contained(docs, benchmark)
     assert Counter(tuple(r)[:4] for r in found.collect()) == expected and len(expected) > 3
     hit = {i for i, *_ in expected}
+    # the distributed way gives the same
+    assert Counter(tuple(r)[:4] for r in decontamination.contained(docs, benchmark, broadcast_shingles=0).collect()) == expected
+    assert Counter(r.doc_id for r in decontamination.cleaned(docs, benchmark, broadcast_shingles=0).collect()) == Counter(i for i, _ in texts if i not in hit)
+    assert decontamination.cleaned(docs, benchmark, broadcast_shingles=0).columns == docs.columns
+    dated = benchmark.withColumn("item_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("item_id").cast("int")))
+    for bound in (0, 1000):
+        assert Counter((r.doc_id, (r.item_id - datetime.date(2020, 1, 1)).days) for r in decontamination.contained(docs, dated, broadcast_shingles=bound).collect()) == Counter((i, j) for (i, j, *_), n in expected.items() for _ in range(n))
     assert Counter(r.doc_id for r in decontamination.cleaned(docs, benchmark).collect()) == Counter(i for i, _ in texts if i not in hit)
     assert decontamination.contained(none, benchmark).count() == 0
     assert decontamination.contained(docs, benchmark.limit(0)).count() == 0
