@@ -1,5 +1,11 @@
 """DuckDB SQL for those of the opN queries that SQL can express."""
 
+from tallyweir.llm.queries import QUALIFIERS, SUBJECTS
+
+_S, _Q = "|".join(SUBJECTS), "|".join(QUALIFIERS)
+#: The patterns of url_rule_set as one expression; a separator is anything but letters, digits, ``_``, ``%`` and ``-``, or an end.
+_PATTERNS = f"(^|[^A-Za-z0-9_%-])(({_S})-|(({_S})[-=]({_Q})|({_Q})-({_S}))([^A-Za-z0-9_%-]|$)|({_S})[.]({_Q})[.])|/({_S})/({_Q})/|^({_S})({_Q})[.]"
+
 op3_url_filters = r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -22,7 +28,7 @@ WITH rest AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block'
             WHEN rule IS NOT NULL THEN 'allow'
-            WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9_%-])(casino-|adult-|porn|(free-bets|cheap-pills|ads-track)([^A-Za-z0-9_%-]|$))') THEN 'block'
+            WHEN regexp_matches(host || path, '{patterns}') THEN 'block'
             ELSE 'allow' END AS verdict
 FROM ruled
-"""
+""".replace("{patterns}", _PATTERNS)

@@ -29,13 +29,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-#: The host rules of the contract come first, then these patterns of our own.
+#: The host rules of the contract come first, then patterns of our own.
 HOST_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-PATTERNS = ["^casino-", "^free-bets^", "^cheap-pills^", "^ads-track^", "^adult-", "^porn"]
+SUBJECTS = ["casino", "bets", "pills", "track", "adult", "porn", "poker", "loan", "replica", "diet", "crack", "warez", "clicks", "popup", "spyware", "lottery", "jackpot", "escort", "dating", "horoscope"]
+FORMS = ["^{0}-{1}^", "^{1}-{0}^", "^{0}.{1}.", "/{0}/{1}/", "|{0}{1}.", "^{0}={1}^"]
+QUALIFIERS = ["free", "cheap", "best", "online", "live", "hot", "win", "fast", "instant", "bonus", "deal", "offer", "secure", "vip", "extra", "mega", "super", "ultra", "easy", "daily"]
 
 
 def url_rule_set() -> list[url_rules.Rule]:
-    return [url_rules.Rule("||" + name, verdict, name, 1) for name, verdict in HOST_RULES] + [url_rules.Rule(p, "block") for p in PATTERNS]
+    """The host rules, one pattern for each subject, and one for each subject, qualifier and form: over two thousand."""
+    out = [url_rules.Rule("||" + name, verdict, name, 1) for name, verdict in HOST_RULES]
+    out += [url_rules.Rule(f"^{s}-", "block") for s in SUBJECTS]
+    return out + [url_rules.Rule(form.format(s, q), "block") for form in FORMS for s in SUBJECTS for q in QUALIFIERS]
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,6 +206,20 @@ def test_sharding(spark, none, texts):
     largest = max(r.size for r in found)
     assert all(abs(held[s] - total / 16) <= largest + 0.002 * total for s in range(16))
     assert sharding.sharded(none, 16).count() == 0
+    # fragments and their slots against a plain sort of the keys
+    keys = sharding.keyed(frame, ["key", "size"]).collect()
+    assert Counter((r.carried["key"], r.carried["size_"]) for r in keys) == Counter({(0, 0): len(rows)})
+    stored_keys = sharding.stored(sharding.keyed(frame), "keys")
+    for shards, fragments in ((16, 8), (3, 40), (5, None)):
+        cut, counts = sharding.splitters(stored_keys, shards, fragments)
+        every = sorted((r.key, r.size) for r in stored_keys.collect())
+        assert cut == sorted(cut) and counts == [sum(a <= k < b for k, _ in every) for a, b in zip([0, *cut], [*cut, 1 << 63], strict=True)]
+        per = len(counts) // shards
+        for t in range(1, shards):
+            below = sum(s for k, s in every if k < cut[t * per - 1])
+            assert abs(below - sum(s for _, s in every) * t / shards) <= 0.001 * sum(s for _, s in every) / shards + 4 * largest
+    carried = sharding.sharded(frame.withColumn("shard", F.lit("x")), 4, carry=["key", "size", "shard"])
+    assert carried.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "key", "size_", "shard_"] and carried.count() == len(rows)
 
 
 def test_language_model(docs, none, texts):
