@@ -5,7 +5,8 @@
 where b is the bucket of the context's frequency c(v). The weights of each bucket
 are learned by expectation-maximisation on held-out counts: every training token
 is taken out of all its counts in turn (c - 1) and the mixture is fitted to what
-the remaining counts say of it.
+the remaining counts say of it, in cells of tokens with equal or (from 16 on) near
+counts, which stand for the means of their tokens.
 
 Counts are of the whole training corpus and may be as large as the corpus, so they
 are neither broadcast nor gathered. The texts are read once into blocks of about
@@ -18,7 +19,7 @@ can fill one. What the driver sees is a table of quantised held-out counts with
 fixed number of cells.
 
 Blocks and answers are stored in the shared folder, so a lost executor costs its
-own tasks only, and n-grams are compared as 64-bit hashes.
+own tasks only; words are compared as 64-bit hashes, pairs by 56 bits.
 
 Defined cases: a null or empty text is one end token; without training documents
 every token has the probability 1 / (V + 1) with V = 0; repeated rows count and
@@ -37,11 +38,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import dropped, fold, stored
+from tallyweir.llm.common import bounded_batches, dropped, fold, forget, in_arrow, stored
 from tallyweir.llm.shingles import WordHashes, mixed
 
 BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
 END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
+PAIR_BITS = ~np.uint64(0xFF)  # the 56 bits by which pairs are told apart; single words keep all 64
 LEVELS = 48  # buckets of context frequency: powers of two
 
 
@@ -103,7 +105,7 @@ def blocks(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
             yield block()
 
     flagged = docs.select("doc_id", "text", (fold(F.col("doc_id"), held_out_of) == 0).alias("held"))
-    return flagged.mapInArrow(rows, f"block string, ids array<{kind}>, held array<boolean>, lengths array<bigint>, vocabulary binary, seq binary, training bigint")
+    return in_arrow(flagged, rows, f"block string, ids array<{kind}>, held array<boolean>, lengths array<bigint>, vocabulary binary, seq binary, training bigint")
 
 
 class Ngrams:
@@ -118,7 +120,7 @@ class Ngrams:
         hashes = self.words[self.seq]
         before = np.concatenate([[START], hashes[:-1]])
         before[self.starts] = START
-        self.pairs, self.pair_of = np.unique(mixed(before * np.uint64(0x9E3779B97F4A7C15) + hashes), return_inverse=True)
+        self.pairs, self.pair_of = np.unique(mixed(before * np.uint64(0x9E3779B97F4A7C15) + hashes) & PAIR_BITS, return_inverse=True)
         # the start of a document is a context too: its count is that of training documents
         singles = mixed(np.append(self.words, START) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
         self.order = np.argsort(singles)
@@ -155,7 +157,7 @@ def asked(stored_blocks: DataFrame, bits: int) -> DataFrame:
                 kinds = [pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(out[0]), pa.string()), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=["block", "bucket", "singles", "n1", "pairs", "n2"])
 
-    return stored_blocks.select("block", "held", "lengths", "vocabulary", "seq").mapInArrow(rows, "block string, bucket int, singles binary, n1 binary, pairs binary, n2 binary")
+    return in_arrow(stored_blocks.select("block", "held", "lengths", "vocabulary", "seq"), rows, "block string, bucket int, singles binary, n1 binary, pairs binary, n2 binary")
 
 
 def answered(questions: DataFrame) -> DataFrame:
@@ -168,6 +170,7 @@ def answered(questions: DataFrame) -> DataFrame:
         return [_pack(sums[place[a:b]]) for a, b in zip(ends, ends[1:], strict=False)], distinct, sums
 
     def group(table: pa.Table) -> pa.Table:
+        forget()
         rows = table.to_pylist()
         one, words, sums = total([_unpack_keys(r["singles"]) for r in rows], [_unpack(r["n1"], np.uint32) for r in rows])
         two, _, _ = total([_unpack_keys(r["pairs"]) for r in rows], [_unpack(r["n2"], np.uint32) for r in rows])
@@ -183,19 +186,43 @@ def answered(questions: DataFrame) -> DataFrame:
             }
         )
 
+    bounded_batches(questions.sparkSession)
     return questions.groupBy("bucket").applyInArrow(group, "block string, bucket int, one binary, two binary, seen bigint")
 
 
 def _octaves(x: np.ndarray) -> np.ndarray:
-    """0, then twice the binary logarithm, floored, from 1 on."""
-    return np.where(x > 0, 1 + np.floor(2 * np.log2(np.maximum(x, 1)) + 1e-9), 0).astype(np.int64)
+    """Counts below 16 as they are, then four bins an octave."""
+    return np.where(x < 16, x, 16 + np.floor(4 * np.log2(np.maximum(x, 16) / 16) + 1e-9)).astype(np.int64)
 
 
-def _centre(level: np.ndarray) -> np.ndarray:
-    """A value inside a bin of ``_octaves``; exact for 0 to 2."""
-    low = np.where(level > 0, np.ceil(2 ** ((level - 1) / 2) - 1e-9), 0)
-    high = np.where(level > 0, np.ceil(2 ** (level / 2) - 1e-9) - 1, 0)
-    return np.where(level > 0, np.sqrt(low * np.maximum(high, low)), 0.0)
+def cell_of(context: np.ndarray, pair: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """The cell of three held-out counts."""
+    return (_octaves(context) * 256 + _octaves(pair)) * 256 + _octaves(single)
+
+
+def _low(level: np.ndarray) -> np.ndarray:
+    """The least count of a bin."""
+    return np.where(level < 16, level, np.ceil(16 * 2 ** ((level - 16) / 4) - 1e-6))
+
+
+CELLS = pa.list_(pa.struct([(name, pa.int64()) for name in ("cell", "n", "v", "two", "one")]))
+
+
+def told_cells(context: np.ndarray, pair: np.ndarray, single: np.ndarray) -> list[dict]:
+    """Of each cell its tokens, and by how much in all their counts pass the least of the cell."""
+    values = [x.astype(np.int64) for x in (context, pair, single)]
+    cells, place, n = np.unique(cell_of(*values), return_inverse=True, return_counts=True)
+    over = []
+    for x, digit in zip(values, (65536, 256, 1), strict=True):
+        sums = np.zeros(len(cells), np.int64)
+        np.add.at(sums, place, x - _low(cells // digit % 256).astype(np.int64)[place])
+        over.append(sums)
+    return [dict(zip(("cell", "n", "v", "two", "one"), row, strict=True)) for row in zip(cells.tolist(), n.tolist(), *(o.tolist() for o in over), strict=True)]
+
+
+def means(cells: np.ndarray, counts: np.ndarray, over: list[np.ndarray]) -> list[np.ndarray]:
+    """The mean held-out counts of each cell."""
+    return [_low(cells // digit % 256) + o / counts for o, digit in zip(over, (65536, 256, 1), strict=True)]
 
 
 def resolved(stored_blocks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -203,9 +230,10 @@ def resolved(stored_blocks: DataFrame, answers: DataFrame) -> DataFrame:
     kind = stored_blocks.schema["ids"].dataType.simpleString()
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        forget()
         if not left.num_rows:  # answers without a block carry the size of the vocabulary
             seen = [v for v in right.column("seen").to_pylist() if v is not None]
-            return pa.table({"ids": pa.array([None], left.schema.field("ids").type), "held": pa.array([None], pa.list_(pa.bool_())), "lengths": pa.array([None], pa.list_(pa.int64())), "c1": pa.array([None], pa.binary()), "cv": pa.array([None], pa.binary()), "c2": pa.array([None], pa.binary()), "cells": pa.array([[]], pa.list_(pa.int64())), "cell_counts": pa.array([[]], pa.list_(pa.int64())), "seen": pa.array([sum(seen)], pa.int64())})
+            return pa.table({"ids": pa.array([None], left.schema.field("ids").type), "held": pa.array([None], pa.list_(pa.bool_())), "lengths": pa.array([None], pa.list_(pa.int64())), "c1": pa.array([None], pa.binary()), "cv": pa.array([None], pa.binary()), "c2": pa.array([None], pa.binary()), "cells": pa.array([[]], CELLS), "seen": pa.array([sum(seen)], pa.int64())})
         r = left.to_pylist()[0]
         grams = Ngrams(r["vocabulary"], r["seq"], r["held"], r["lengths"])
         parts = sorted(right.select(["bucket", "one", "two"]).to_pylist(), key=lambda x: x["bucket"])
@@ -215,24 +243,21 @@ def resolved(stored_blocks: DataFrame, answers: DataFrame) -> DataFrame:
         c1 = of_single[grams.seq]
         cv = np.concatenate([of_single[-1:], c1[:-1]])
         cv[grams.starts] = of_single[-1]
-        t = grams.train
-        cell = (_octaves(cv[t] - 1) * 128 + _octaves(c2[t] - 1)) * 128 + _octaves(c1[t] - 1)
-        cells, n = np.unique(cell, return_counts=True)
-        return pa.table({"ids": left.column("ids"), "held": left.column("held"), "lengths": left.column("lengths"), "c1": pa.array([_pack(c1)], pa.binary()), "cv": pa.array([of_single[-1:].tobytes()], pa.binary()), "c2": pa.array([_pack(c2)], pa.binary()), "cells": pa.array([cells.tolist()], pa.list_(pa.int64())), "cell_counts": pa.array([n.tolist()], pa.list_(pa.int64())), "seen": pa.array([None], pa.int64())})
+        t = grams.train  # their own counts hold them
+        cells = told_cells(cv[t] - 1, c2[t] - 1, c1[t] - 1)
+        return pa.table({"ids": left.column("ids"), "held": left.column("held"), "lengths": left.column("lengths"), "c1": pa.array([_pack(c1)], pa.binary()), "cv": pa.array([of_single[-1:].tobytes()], pa.binary()), "c2": pa.array([_pack(c2)], pa.binary()), "cells": pa.array([cells], CELLS), "seen": pa.array([None], pa.int64())})
 
-    return stored_blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(group, f"ids {kind}, held array<boolean>, lengths array<bigint>, c1 binary, cv binary, c2 binary, cells array<bigint>, cell_counts array<bigint>, seen bigint")
+    return stored_blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(group, f"ids {kind}, held array<boolean>, lengths array<bigint>, c1 binary, cv binary, c2 binary, cells array<struct<cell:bigint,n:bigint,v:bigint,two:bigint,one:bigint>>, seen bigint")
 
 
-def weights(cells: np.ndarray, counts: np.ndarray, tokens: int, vocabulary: int, rounds: int = 80) -> np.ndarray:
-    """LEVELS by (bigram, unigram, uniform), by expectation-maximisation on the held-out cells."""
+def weights(context: np.ndarray, pair: np.ndarray, single: np.ndarray, counts: np.ndarray, tokens: int, vocabulary: int, rounds: int = 80) -> np.ndarray:
+    """LEVELS by (bigram, unigram, uniform), by expectation-maximisation on held-out counts, each standing ``counts`` times."""
     out = np.tile([0.4, 0.5, 0.1], (LEVELS, 1))
     out[0] = [0.0, 0.9, 0.1]  # an unseen context has no bigram estimate
-    if not len(cells):
+    if not len(context):
         return out
-    context, pair, single = cells // 16384, cells // 128 % 128, cells % 128
-    nv, n2, n1 = _centre(context), _centre(pair), _centre(single)
-    level = np.minimum(np.where(context > 0, 1 + (context - 1) // 2, 0), LEVELS - 1)
-    p = np.stack([np.where(nv > 0, np.minimum(n2 / np.maximum(nv, 1), 1), 0), n1 / max(tokens - 1, 1), np.full(len(cells), 1 / (vocabulary + 1))], 1)
+    level = level_of(context)
+    p = np.stack([np.where(context > 0, np.minimum(pair / np.maximum(context, 1), 1), 0), single / max(tokens - 1, 1), np.full(len(context), 1 / (vocabulary + 1))], 1)
     for _ in range(rounds):
         part = out[level] * p
         part *= (counts / np.maximum(part.sum(1), 1e-300))[:, None]
@@ -264,9 +289,11 @@ def scores(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
     known = stored(resolved(kept, answered(asked(kept, bits))), "lm-known")
     dropped(kept)
     vocabulary = known.agg(F.sum("seen").alias("v")).first().v or 0
-    # cells are quantised, so their number is bounded whatever the corpus
-    cells = known.select(F.explode(F.arrays_zip("cells", "cell_counts")).alias("c")).groupBy("c.cells").agg(F.sum("c.cell_counts").alias("n")).orderBy("cells").collect()
-    mixture = weights(np.array([r.cells for r in cells], np.int64), np.array([r.n for r in cells], np.float64), tokens, vocabulary)
+    # cells are of binned counts, so their number is bounded whatever the corpus; each gives the exact means of its tokens
+    totals = [F.sum(F.col(f"c.{name}").cast("decimal(38,0)")).cast("double").alias(name) for name in ("n", "v", "two", "one")]
+    cells = known.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(*totals).orderBy("cell").toArrow()
+    number, counts, *over = (cells.column(name).to_numpy() for name in ("cell", "n", "v", "two", "one"))
+    mixture = weights(*means(number, counts, over), counts, tokens, vocabulary)
     kind = docs.schema["doc_id"].dataType
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,4 +313,4 @@ def scores(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return known.filter("ids IS NOT NULL").select("ids", "held", "lengths", "c1", "cv", "c2").mapInArrow(rows, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return in_arrow(known.filter("ids IS NOT NULL").select("ids", "held", "lengths", "c1", "cv", "c2"), rows, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -235,15 +235,15 @@ def test_language_model(docs, none, texts):
     # with the same mixture, plain Python agrees
     import numpy as np
 
-    cells = Counter()
+    held_out = []
     contexts = Counter({"<s>": sum(not h for h in held)}) + Counter({w: c for w, c in one.items() if w is not None})
     for ws, h in zip(tokens, held, strict=True):
         if not h:
             for a, b in zip(["<s>", *ws], ws, strict=False):
-                x = [int(interpolation._octaves(np.array([c - 1]))[0]) for c in (contexts[a], two[a, b], one[b])]
-                cells[(x[0] * 128 + x[1]) * 128 + x[2]] += 1
-    keys = sorted(cells)
-    mixture = interpolation.weights(np.array(keys), np.array([float(cells[k]) for k in keys]), n, v)
+                held_out.append((contexts[a] - 1, two[a, b] - 1, one[b] - 1))
+    cells = interpolation.told_cells(*np.array(held_out).T)
+    number, counts, *over = (np.array([c[name] for c in cells], float if name == "n" else np.int64) for name in ("cell", "n", "v", "two", "one"))
+    mixture = interpolation.weights(*interpolation.means(number, counts, over), counts, n, v)
     model = Counter()
     for (i, _), ws in zip(texts, tokens, strict=True):
         p = [interpolation.probabilities(np.array([two[a, b]]), np.array([contexts[a]]), np.array([one[b]]), mixture, n, v)[0] for a, b in zip(["<s>", *ws], ws, strict=False)]
@@ -255,7 +255,7 @@ def test_language_model(docs, none, texts):
 def test_mixture_is_a_distribution():
     import numpy as np
 
-    w = interpolation.weights(np.array([(20 * 128 + 3) * 128 + 9, 0]), np.array([50.0, 2.0]), 1000, 100)
+    w = interpolation.weights(np.array([700.0, 0.0]), np.array([2.0, 0.0]), np.array([9.0, 0.0]), np.array([50.0, 2.0]), 1000, 100)
     assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 0] == 0
 
 
@@ -274,6 +274,41 @@ def base_spans(text):
     return sorted((m.start(), rank, m.end()) for rank, kind in enumerate(PII) for m in re.finditer(PII[kind], text or "") if right(kind, m[0]))
 
 
+def test_language_model_against_plain_expectation_maximisation(spark):
+    """Deleted interpolation with exact counts, without the module's helpers."""
+    rng = random.Random(31)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=rng.randrange(0, 12)))) for i in range(160)]
+    tokens = {i: [*t.split(), None] for i, t in texts}
+    train = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 10]
+    one, two, context = Counter(), Counter(), Counter()
+    for i in train:
+        for a, b in zip(["<s>", *tokens[i]], tokens[i], strict=False):
+            one[b] += 1
+            two[a, b] += 1
+            context[a] += 1
+    n, v = sum(one.values()), len(one)
+    bucket = lambda c: 1 + int(math.log2(c)) if c else 0
+    weights = {k: [0.4, 0.5, 0.1] if k else [0, 0.9, 0.1] for k in range(60)}
+    for _ in range(80):
+        sums = {k: [0.01 * bool(k), 0.01, 0.01] for k in range(60)}
+        for i in train:
+            for a, b in zip(["<s>", *tokens[i]], tokens[i], strict=False):
+                c = context[a] - 1
+                k = bucket(c)
+                parts = [w * p for w, p in zip(weights[k], (min((two[a, b] - 1) / c, 1) if c else 0, (one[b] - 1) / (n - 1), 1 / (v + 1)), strict=True)]
+                for j in range(3):
+                    sums[k][j] += parts[j] / sum(parts)
+        weights = {k: [x / sum(w) for x in w] for k, w in sums.items()}
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for r in interpolation.scores(frame).collect():
+        expected = 0.0
+        for a, b in zip(["<s>", *tokens[r.doc_id]], tokens[r.doc_id], strict=False):
+            w, c = weights[bucket(context[a])], context[a]
+            expected += math.log10(w[0] * (two[a, b] / c if c else 0) + w[1] * one[b] / n + w[2] / (v + 1))
+        assert math.isclose(r.score, expected, rel_tol=0.01), (r, expected)  # larger counts are binned in the fit
+
+
 def test_pii(spark, docs, none):
     rng, pieces = random.Random(5), ["a", "b.c", "@", "x@y.co", "_", "1.2.3.4", "256.1.1.1", ".", "4111 1111 1111 1111", "-", " ", "+", "+1 (487) 555-7209", "é", "👍", "12", "a@b", "c.d@e.f", "\n", "5555555555554444"]
     odd = [None, "", "1 " * 3000, "9" * 9000, "a@" * 2000, "b" * 9000, *("".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(500))]
