@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import fold, labelled_sample
+from tallyweir.llm.common import fold, in_arrow, labelled_sample, slices
 
 BUCKETS, RANK, BINS = 1 << 16, 8, 6
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -148,11 +148,11 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
         known: dict[bytes, int] = {}
         model = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for part in slices(batch, 1, 4 << 20):
                 texts = part.column(1).cast(pa.large_binary()).to_pylist()
                 scores = [model.score(*features(t or b"", c, known)) for t, c in zip(texts, part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
-    scored = docs.select("doc_id", "text", n_chars.alias("n"), (fold(F.col("doc_id"), 5) == 0).alias("held_out")).mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    given = docs.select("doc_id", "text", n_chars.alias("n"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"))
+    scored = in_arrow(given, rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

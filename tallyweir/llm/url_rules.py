@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweir.llm.common import free_name
+from tallyweir.llm.common import free_name, in_arrow
 
 BLOCK = 50_000  # rules that one pass sends to the tasks
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
@@ -90,7 +90,7 @@ def token_counts(urls: DataFrame, url: str, tokens: Sequence[str]) -> dict[str,
                 seen.update(wanted.intersection(_TOKEN.findall("".join(split_url(value)))))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 
-    parts = urls.select(url).mapInArrow(count, "token string, n long")
+    parts = in_arrow(urls.select(url), count, "token string, n long")
     return {r.token: r.n for r in parts.groupBy("token").agg(F.sum("n").alias("n")).collect()}  # as many rows as rules have tokens, at most
 
 
@@ -114,7 +114,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url:
     blocks = [ranked[a : a + BLOCK] for a in range(0, len(ranked), BLOCK)] or [[]]
     for k, block in enumerate(blocks):
         counts = token_counts(pages, url, [t for r in block for t in usable_tokens(r.pattern)])
-        out = out.mapInArrow(_fitting(block, index_rules(block, counts), at, k, default), T.StructType([*pages.schema.fields, *(T.StructField(n, T.StringType()) for n in names), T.StructField(winner, T.BooleanType())]))
+        out = in_arrow(out, _fitting(block, index_rules(block, counts), at, k, default), T.StructType([*pages.schema.fields, *(T.StructField(n, T.StringType()) for n in names), T.StructField(winner, T.BooleanType())]))
     return out.drop(winner)
 
 
