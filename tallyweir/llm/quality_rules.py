@@ -9,9 +9,9 @@ scores every whole text and keeps those at or above a threshold that the trusted
 documents' own scores fix, so equal texts get equal verdicts.
 
 All of it is built-in functions: counts are combined before the shuffle, which
-carries at most a row for each bucket and task; texts meet the trusted ids by a
-shuffle, less most of those that a bitmap of fixed size rules out, and the
-buckets of the trusted ones are written once; the ratios are an array literal of
+carries at most a row for each bucket and task; texts' buckets meet the trusted ids
+by a shuffle, less most of those that a bitmap of fixed size rules out, and those of
+the trusted ones are written once; the ratios are an array literal of
 fixed size; scoring shuffles nothing.
 
 Base figures of a text, with words as runs of other than ASCII white space:
@@ -68,8 +68,11 @@ def trusted_buckets(docs: DataFrame, labels: DataFrame) -> DataFrame:
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * WORDS))
     bits = ids.select(place("trusted_id").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits"))
     near = docs.select("doc_id", "text", place("doc_id").alias("p")).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(bits), "word").filter(F.expr("shiftrightunsigned(bits, int(p & 63)) & 1 = 1"))
-    met = near.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    return stored(met.select(ngram_buckets(word_hashes(words(F.col("text")))).alias("buckets")), "trusted")
+    # the hashes are a column of their own, as a lambda would evaluate them anew for every word; and they are made
+    # where the texts are read, not in the few tasks that the join leaves
+    hashed = near.select("doc_id", word_hashes(words(F.col("text"))).alias("h"))
+    met = hashed.select("doc_id", ngram_buckets(F.col("h")).alias("buckets")).join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    return stored(met.select("buckets"), "trusted")
 
 
 def _counted(buckets: DataFrame) -> list[int]:
