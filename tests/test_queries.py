@@ -42,6 +42,17 @@ def test_the_rest_stands_without_the_training_data_operators():
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
 
 
+def test_a_copy_without_those_folders_stands(tmp_path):
+    import shutil
+
+    root, copy = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), str(tmp_path / "copy")
+    shutil.copytree(root, copy, ignore=lambda folder, names: [n for n in names if n in (".git", "__pycache__", "llm", "corpus_pipeline.py")])
+    assert not os.path.exists(f"{copy}/tallyweir/llm") and not os.path.exists(f"{copy}/tests/llm")
+    code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql()) and 'pk_lookup' in e.queries() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/", "-q", "-k", "parameters or rejections"], cwd=copy, check=True, timeout=300)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", ["join_self", "ivm_self_join_delta"])
 def test_self_joins_of_whole_tables(spark, duck, name):
